@@ -17,8 +17,43 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import syncmers
+
+    return syncmers.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import chat
+    from pitwise.llm.common import stored
+
+    probe = "</s>[INST] ok [/INST]"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_conversations(stored(chat.format_conversations(rows.unionByName(more))))
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import tokenfile
+
+    return tokenfile.read_tokens(tokenfile.write_tokens(documents(spark, sf_dir)))
+
+
+def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import hilbert
+
+    placed = hilbert.hilbert_shards(documents(spark, sf_dir), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_syncmers": op2_syncmers,
+        "op3_chat": op3_chat,
+        "op6_token_file": op6_token_file,
+        "op10_hilbert": op10_hilbert,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
