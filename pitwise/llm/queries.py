@@ -33,12 +33,30 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_conversations(stored(chat.format_conversations(rows.unionByName(more))))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import mixing
+
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import pieces
+
+    return pieces.digests(documents(spark, sf_dir))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwise.llm import tokenfile
 
     return tokenfile.read_tokens(tokenfile.write_tokens(documents(spark, sf_dir)))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import quality
+
+    return quality.judged(documents(spark, sf_dir))
+
+
 def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwise.llm import hilbert
 
@@ -51,7 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_syncmers": op2_syncmers,
         "op3_chat": op3_chat,
+        "op4_mixing": op4_mixing,
+        "op5_pieces": op5_pieces,
         "op6_token_file": op6_token_file,
+        "op9_quality": op9_quality,
         "op10_hilbert": op10_hilbert,
     }
 
