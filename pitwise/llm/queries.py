@@ -51,6 +51,12 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(documents(spark, sf_dir)))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitwise.llm import passages
+
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwise.llm import pii
 
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_pieces": op5_pieces,
         "op6_token_file": op6_token_file,
+        "op7_passages": op7_passages,
         "op8_pii": op8_pii,
         "op9_quality": op9_quality,
         "op10_hilbert": op10_hilbert,
