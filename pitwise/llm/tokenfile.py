@@ -21,12 +21,16 @@ empty file. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,33 +39,90 @@ from pitwise.llm.common import stored
 
 BLOCK, SEGMENT = 128, 1 << 18
 #: Words whose ids a Python worker keeps at most; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 500_000
 _HEAD = struct.Struct("<4sHHQII")
 _BLOCK = struct.Struct("<IBB")
 
 
+def _byte_letters() -> list[str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones as they are, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of a text word by word: this tokenizer's rules never reach across ASCII white space, so words can be kept."""
+    """Ids of a text word by word: this tokenizer's rules never reach across ASCII white space, so words can be kept.
 
-    def __init__(self, path: str):
-        import os
+    A word of lower-case Latin letters, with or without closing punctuation, is
+    just what the tokenizer hands its model, so the model is asked directly;
+    any other word goes through the whole tokenizer.
+    """
 
+    _plain = re.compile(rb"([a-z\x80-\xff]*)([.,;:!?]*)")
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+
+    def _model_ids(self, part: bytes) -> bytes:
+        text = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _direct(self, word: bytes) -> bytes | None:
+        """Ids of a plain word, None for any other."""
+        m = self._plain.fullmatch(word)
+        if not m:
+            return None
+        stem, rest = m.groups()
+        if not stem.isascii():
+            text = stem.decode()
+            if not (text.isalpha() and max(text) < "\u0250" and text == text.lower()):
+                return None
+        if not stem or not rest:
+            return self._model_ids(word)
+        known, end = self.known, self.known.get(rest)
+        if end is None:
+            end = known[rest] = self._model_ids(rest)
+        return (known.get(stem) or self._model_ids(stem)) + end
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. When the cache is full the generation before last is dropped."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older, odd = self.known, self.older, []
+        known[b""] = b""
+        out = [known.get(w) for w in words]
+        for i, ids in enumerate(out):
+            if ids is None:
+                w = words[i]
+                ids = older.get(w) or self._direct(w)
+                if ids is None:
+                    odd.append(i)
+                else:
+                    out[i] = known[w] = ids
+        for i, e in zip(odd, self.tokenizer.encode_batch([words[i].decode() for i in odd], add_special_tokens=False)):
+            out[i] = known[words[i]] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        known, split = self.known, [t.split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = list({w for words in split for w in words})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        # letters may be lowered first unless a combining mark or a special token's brackets could tell
+        low = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(low, pa.binary()).cast(pa.string()))
+        coded = split.values.dictionary_encode()
+        code = coded.indices.to_numpy()
+        ids = self._ids(coded.dictionary.cast(pa.binary()).to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(length) - length
+        size = length[code]
+        end = np.concatenate([[0], np.cumsum(size)])
+        every = np.frombuffer(b"".join(ids), "<u4")[np.arange(end[-1]) + np.repeat(start[code] - end[:-1], size)]
+        return np.split(every, end[split.offsets.to_numpy()[1:-1]]) if texts else []
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -88,8 +149,9 @@ def pack_blocks(ids: np.ndarray, percentile: float = 0.9) -> list[bytes]:
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         part = apart[rows]
-        bits = (part[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+        kind, room = ("<u2", 16) if w <= 16 else ("<u4", 32)
+        bits = np.unpackbits(part.astype(kind).view(np.uint8), bitorder="little").reshape(len(rows), BLOCK, room)[:, :, :w]
+        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
         high = part >> np.uint32(w) if w < 32 else np.zeros_like(part)
         for i, row in enumerate(rows.tolist()):
             at = np.flatnonzero(high[i])
@@ -108,8 +170,10 @@ def unpack_blocks(image: bytes, offsets: np.ndarray) -> np.ndarray:
         size = BLOCK * w // 8
         packed = np.frombuffer(b"".join(image[o + _BLOCK.size : o + _BLOCK.size + size] for o in offsets[rows].tolist()), np.uint8)
         if w:
-            bits = np.unpackbits(packed, bitorder="little").reshape(len(rows), BLOCK, w)
-            grid[rows] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            kind, room = ("<u2", 16) if w <= 16 else ("<u4", 32)
+            bits = np.zeros((len(rows), BLOCK, room), np.uint8)
+            bits[:, :, :w] = np.unpackbits(packed, bitorder="little").reshape(len(rows), BLOCK, w)
+            grid[rows] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view(kind)
     for i, (least, w, odd) in enumerate(heads):
         if odd:
             at = int(offsets[i]) + _BLOCK.size + BLOCK * w // 8
@@ -159,8 +223,8 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2)
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], [c.split()[0] for c in schema.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
                 for doc_id, ids in zip(rows.column(0).to_pylist(), words.encode(rows.column(1).to_pylist())):
                     doc_ids.append(doc_id)
                     pieces.append(np.append(ids, np.uint32(end_id)))
