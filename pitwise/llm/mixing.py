@@ -118,15 +118,25 @@ def mixed_blocks(sources: DataFrame, block: int = 64, shard: int = 4096, most: i
 
 
 def mix(docs: DataFrame, block: int = 64, shard: int = 4096, most: int = 3, seed: int = 7, per_bucket: int = 20_000) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words of the document that the mix takes, repeats counted)."""
-    sized = docs.select(F.col("doc_id").cast("bigint"), F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name")).alias("source_key"), "source", n_words(F.col("text")).alias("size"))
-    sized = cut(sized)
-    sizes = sized.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    wanted = cut(targets(sizes, most))
+    """doc_id, mark (a hash of the text), size, source_size, target, taken (words of the document that the mix takes, repeats counted)."""
+    key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
+    sized = cut(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), key.alias("source_key"), "source", n_words(F.col("text")).alias("size")))
+    wanted = cut(targets(sized.groupBy("source_key", "source").agg(F.sum("size").alias("source_size")), most))
     times = mixed_blocks(wanted, block, shard, most, seed).groupBy("source_key", "block_no").agg(F.count("*").alias("times"))
-    placed = cut(_placed(sized.select("doc_id", "source_key", "size"), seed, per_bucket).select("doc_id", "source_key", "size", "spread", "at").withColumn("row", F.monotonically_increasing_id()))
+    placed = cut(_placed(sized.drop("source"), seed, per_bucket).withColumn("row", F.monotonically_increasing_id()))
     touched = placed.where("size > 0").select("row", "source_key", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block_no"))
     words = F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("at"), F.col("block_no") * block)
     taken = touched.withColumn("words", words).join(times, ["source_key", "block_no"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = placed.join(taken, "row", "left").join(wanted, "source_key")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return out.select("doc_id", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The documents as often as the mix takes them, whole: a part of a pass is a whole one as often as its share says."""
+    taken = mix(docs, seed=seed).where("taken > 0").groupBy("doc_id", "mark").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    share = F.col("taken") / F.col("size")
+    passes = F.floor(share) + F.when(_uniform(F.lit(seed), F.lit("pass"), "doc_id", "mark") < share - F.floor(share), 1).otherwise(0)
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("mark").alias("taken_mark"), passes.cast("int").alias("passes")).where("passes > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("key_id"), F.xxhash64("text").alias("key_mark"))
+    rows = rows.join(taken, rows.key_id.eqNullSafe(taken.taken_id) & (rows.key_mark == taken.taken_mark))
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("doc.*")

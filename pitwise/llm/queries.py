@@ -36,7 +36,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitwise.llm import mixing
 
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir)).drop("mark")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ and ``text`` are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -62,33 +63,31 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
 def majority(hashes: np.ndarray, lanes: int = 1) -> bytes:
     """Bits set in over half the hashes, most significant first. Lanes beyond the first remix each hash."""
     counts = np.zeros(64 * lanes, np.int64)
+    salts = np.array([(0x9E3779B97F4A7C15 * lane) & 0xFFFFFFFFFFFFFFFF for lane in range(1, lanes)], np.uint64)
     for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        wide = np.empty((len(part), lanes), ">u8")
-        wide[:, 0] = part
-        for lane in range(1, lanes):
-            x = part + np.uint64((0x9E3779B97F4A7C15 * lane) & 0xFFFFFFFFFFFFFFFF)
+        part = hashes[at : at + 4096, None]
+        if lanes > 1:
+            x = part + salts
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            wide[:, lane] = x ^ (x >> np.uint64(31))
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.uint16)
+            part = np.concatenate([part, x ^ (x >> np.uint64(31))], axis=1)
+        wide = np.ascontiguousarray(part, ">u8").view(np.uint8)
+        counts += np.unpackbits(wide, axis=1).sum(axis=0, dtype=np.uint16)
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, size: int = 5, lanes: int = 1) -> DataFrame:
-    """doc_id and ``fp``: a bigint for one lane, else ``8 * lanes`` bytes."""
+    """doc_id, ``mark`` (a hash of the text) and ``fp``: a bigint, or an array of them for several lanes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for body in batch.column(1):
-                fp = majority(shingle_hashes(body.as_py() or b"", size), lanes)
-                out.append(int.from_bytes(fp, "big", signed=True) if lanes == 1 else fp)
-            kind = pa.int64() if lanes == 1 else pa.binary()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "fp"])
+            prints = [majority(shingle_hashes(body.as_py() or b"", size), lanes) for body in batch.column(2)]
+            flat = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
+            fp = pa.array(flat) if lanes == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * lanes, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], ["doc_id", "mark", "fp"])
 
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("body"))
-    return source.mapInArrow(run, f"doc_id bigint, fp {'bigint' if lanes == 1 else 'binary'}")
+    source = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("body"))
+    return source.mapInArrow(run, f"doc_id bigint, mark bigint, fp {'bigint' if lanes == 1 else 'array<bigint>'}")
 
 
 def _bits_apart(a: str, b: str):
@@ -125,3 +124,42 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def wide_links(nodes: DataFrame, lanes: int, most: int) -> DataFrame:
+    """Edges (a, b) between the ``id`` of wide fingerprints that share a 24-bit block and differ in at most ``most`` bits.
+
+    Near-duplicates of the stated similarity differ in far more bits than two,
+    so the blocks are many: two for each lane. A block that very many share is
+    compared with two of its members, drawn anew for each block.
+    """
+    blocks = [F.struct(F.lit(2 * i + j).alias("c"), F.shiftright(F.col("fp")[i], 24 * j).bitwiseAND(F.lit((1 << 24) - 1)).alias("key")) for i in range(lanes) for j in range(2)]
+    keyed = nodes.select("id", F.explode(F.array(*blocks)).alias("k")).select("k.c", "k.key", F.struct(F.xxhash64("k.c", "id").alias("draw"), F.col("id")).alias("m"))
+    groups = cut(keyed.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi")).where("n > 1"))
+    pairs = groups.where("n = 2").select(F.col("lo.id").alias("a"), F.col("hi.id").alias("b"))
+    members = keyed.join(groups.where("n > 2"), ["c", "key"])
+    few = members.where(F.col("n") <= PAIRWISE).select("c", "key", "m.id")
+    few = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["c", "key"]).where("a < b").select("a", "b")
+    many = members.where(F.col("n") > PAIRWISE).select(F.explode(F.array("lo.id", "hi.id")).alias("a"), F.col("m.id").alias("b"))
+    pairs = pairs.unionByName(few).unionByName(many).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = nodes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
+
+
+def unique_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 16) -> DataFrame:
+    """One document of each group of near-duplicates: its smallest doc_id, with all columns.
+
+    ``similarity`` is the Jaccard similarity of shingle sets, which decides how
+    many bits two fingerprints may differ in (the angle between the sets).
+    """
+    most = round(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    prints = cut(fingerprints(docs, size, lanes).withColumn("id", F.xxhash64("fp")))
+    nodes = cut(prints.groupBy("id").agg(F.first("fp").alias("fp")))
+    roots = components(wide_links(nodes, lanes, most))
+    rooted = prints.select("doc_id", "mark", "id").join(roots, prints.id == roots.node, "left")
+    one = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("mark"))).alias("one"))
+    one = one.select(F.col("one.doc_id").alias("one_id"), F.col("one.mark").alias("one_mark"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("key_id"), F.xxhash64("text").alias("key_mark"))
+    rows = rows.join(one, rows.key_id.eqNullSafe(one.one_id) & (rows.key_mark == one.one_mark), "left_semi")
+    return rows.dropDuplicates(["key_id", "key_mark"]).select("doc.*")
