@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import performance, point_in_time
+from pitwise.plans import evaluation, performance, point_in_time
 
-_PLANS = (point_in_time, performance)
+_PLANS = (point_in_time, performance, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
