@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import evaluation, matching, performance, point_in_time
+from pitwise.plans import evaluation, matching, performance, point_in_time, projections
 
-_PLANS = (point_in_time, performance, evaluation, matching)
+_PLANS = (point_in_time, performance, evaluation, matching, projections)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
