@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.functions.rates import kelly
+from pitwise.operators.prefix import running
 
 
 def best_side(p: Column, odds1: Column, odds2: Column) -> dict[str, Column]:
@@ -21,14 +22,15 @@ def best_side(p: Column, odds1: Column, odds2: Column) -> dict[str, Column]:
     return {"edge": F.greatest(e1, e2), "side": F.when(first, 1).otherwise(2), "side_p": F.when(first, p).otherwise(1 - p), "side_odds": F.when(first, odds1).otherwise(odds2)}
 
 
-def replay(df: DataFrame, p: str, y: str, order: list[str], mode: str = "flat", threshold: float = 0.02, mult: float = 0.18, cap: float = 0.05, bankroll: float = 1000.0) -> DataFrame:
-    """Bets of a non-compounding replay with stake, profit, running equity and drawdown."""
+def replay(df: DataFrame, p: str, y: str, order: str, mode: str = "flat", threshold: float = 0.02, mult: float = 0.18, cap: float = 0.05, bankroll: float = 1000.0) -> DataFrame:
+    """Bets of a non-compounding replay in the order of a numeric key, with stake, profit, running equity, peak and drawdown."""
     s = best_side(F.col(p), F.col("odds1"), F.col("odds2"))
     rows = df.select("*", *[v.alias(k) for k, v in s.items()]).where(F.col("edge") >= threshold)
     stake = F.lit(1.0) if mode == "flat" else F.least(mult * kelly(F.col("side_p"), F.col("side_odds")), F.lit(cap)) * bankroll
     won = (F.col("side") == 1) == (F.col(y) == 1)
     rows = rows.withColumn("stake", stake).withColumn("profit", F.when(won, F.col("stake") * (F.col("side_odds") - 1)).otherwise(-F.col("stake")))
-    return drawdown(rows.withColumn("equity", bankroll + F.sum("profit").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))), "equity", [], order)
+    rows = running(running(rows, order, [], "equity", "profit", bankroll), order, [], "peak", "equity", kind="max")
+    return rows.withColumn("drawdown", F.try_divide(F.col("peak") - F.col("equity"), F.col("peak")))
 
 
 def replay_summary(df: DataFrame, p: str, y: str, mode: str = "flat", **kw) -> DataFrame:

@@ -11,8 +11,8 @@ from pitwise.session import table
 OBS = """obs AS (SELECT o_orderkey AS id, o_custkey AS player, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day,
   CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS won, o_orderpriority AS surface, o_totalprice AS rank FROM orders)"""
 
-MATCH_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-MATCHES = f"""matches AS (SELECT row_number() OVER (ORDER BY {", ".join("l." + c for c in MATCH_ORDER)}) AS id, o.o_custkey % 20 AS p1, 20 + l.l_suppkey % 20 AS p2,
+MATCH_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+MATCHES = f"""matches AS (SELECT l.l_orderkey * 100 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY {", ".join("l." + c for c in MATCH_ORDER)}) AS id, o.o_custkey % 20 AS p1, 20 + l.l_suppkey % 20 AS p2,
   date_diff('day', DATE '1970-01-01', CAST(l.l_shipdate AS DATE)) AS day, CASE l.l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END AS won,
   l.l_linestatus AS level, l.l_linenumber AS n, l.l_orderkey AS orderkey, l.l_quantity AS quantity, l.l_extendedprice AS price, l.l_tax AS tax, l.l_discount AS discount
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
@@ -35,12 +35,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("player"), day_number(F.col("o_orderdate")).alias("day"), won.alias("won"), F.col("o_orderpriority").alias("surface"), F.col("o_totalprice").alias("rank"))
 
 
-def matches(spark: SparkSession, sf_dir: str, number: bool = True) -> DataFrame:
-    """Two-sided results; ``id`` counts the lines in the order of all their columns."""
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-sided results; ``id`` counts the lines of each order in the order of all their columns."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     won = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0)
     rows = l.join(o, l.l_orderkey == o.o_orderkey)
-    ident = F.row_number().over(Window.orderBy(*MATCH_ORDER)) if number else F.xxhash64(*MATCH_ORDER)
+    ident = F.col("l_orderkey") * 100 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*MATCH_ORDER))
     return rows.select(ident.cast("bigint").alias("id"), (F.col("o_custkey") % 20).alias("p1"), (20 + F.col("l_suppkey") % 20).alias("p2"), day_number(F.col("l_shipdate")).alias("day"), won.alias("won"), F.col("l_linestatus").alias("level"), F.col("l_linenumber").alias("n"), F.col("l_orderkey").alias("orderkey"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
 
 

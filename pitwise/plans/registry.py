@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import evaluation, matching, performance, point_in_time, projections, simulation
+from pitwise.plans import evaluation, matching, performance, point_in_time, projections, records, simulation
 
-_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation)
+_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

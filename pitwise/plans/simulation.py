@@ -24,7 +24,7 @@ B01 = f"WITH {SIDE} SELECT segment, count(*) AS bets, round(count(*)::DOUBLE, 4)
 
 
 def b01k(spark, sf):
-    r = sim.replay(prediction_log(spark, sf), "p_nn", "y", ["uid"], mode="kelly")
+    r = sim.replay(prediction_log(spark, sf), "p_nn", "y", "uid", mode="kelly")
     return r.select("uid", F.round("stake", 4).alias("stake"), F.round(F.col("equity") + 1e-7, 3).alias("equity"), F.round(F.col("drawdown") + 1e-8, 5).alias("drawdown"))
 
 
