@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import evaluation, learning, matching, performance, point_in_time, projections, records, simulation, streams
+from pitwise.plans import evaluation, learning, matching, performance, point_in_time, projections, records, rounding_off, simulation, streams
 
-_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation, records, streams, learning)
+_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation, records, streams, learning, rounding_off)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
