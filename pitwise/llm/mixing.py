@@ -22,10 +22,12 @@ gives none. Only ``doc_id``, ``text`` and ``source`` are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import cut
+from pitwise.llm.common import cut, slots
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 12
@@ -67,7 +69,8 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
 def _placed(docs: DataFrame, seed: int, per_bucket: int) -> DataFrame:
     """Each document's first word number in its source's packed stream (``at``)."""
     docs = docs.withColumn("spread", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    n = max(1, -(-docs.count() // per_bucket))
+    rows = docs.count()
+    n = max(1, -(-rows // max(per_bucket, math.isqrt(rows))))
     docs = docs.withColumn("bucket", F.pmod("spread", F.lit(n)))
     sums = docs.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     before = sums.select("source_key", "bucket", (F.sum("words").over(Window.partitionBy("source_key").orderBy("bucket")) - F.col("words")).alias("before"))
@@ -112,12 +115,14 @@ def mixed_blocks(sources: DataFrame, block: int = 64, shard: int = 4096, most: i
     given = given.withColumn("first", F.sum("given").over(upto) - F.col("given"))
     # a source's slots end where every block has been taken ``most`` times
     given = given.withColumn("end", F.least(F.col("first") + F.col("given"), F.col("blocks") * most)).where("end > first")
-    slots = given.select("source_key", "shard", "blocks", F.explode(F.sequence("first", F.col("end") - 1)).alias("slot"))
-    slots = slots.withColumn("pass", F.expr("slot div blocks")).withColumn("within", F.col("slot") % F.col("blocks"))
-    return slots.select("source_key", "shard", "slot", "pass", permuted(F.col("within"), F.col("blocks"), F.lit(seed), "source_key", "pass").alias("block_no"))
+    # a few bytes for each shard stand for thousands of slots, so their size must not decide the number of tasks
+    given = given.withColumn("key", F.xxhash64(F.lit(seed), "source_key")).repartition(slots(sources.sparkSession), "source_key", "shard")
+    taken = given.select("source_key", "key", "shard", "blocks", F.explode(F.sequence("first", F.col("end") - 1)).alias("slot"))
+    taken = taken.withColumn("pass", F.expr("slot div blocks")).withColumn("within", F.col("slot") % F.col("blocks"))
+    return taken.select("source_key", "shard", "slot", "pass", permuted(F.col("within"), F.col("blocks"), "key", "pass").alias("block_no"))
 
 
-def mix(docs: DataFrame, block: int = 64, shard: int = 4096, most: int = 3, seed: int = 7, per_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, block: int = 64, shard: int = 4096, most: int = 3, seed: int = 7, per_bucket: int = 2000) -> DataFrame:
     """doc_id, mark (a hash of the text), size, source_size, target, taken (words of the document that the mix takes, repeats counted)."""
     key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
     sized = cut(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), key.alias("source_key"), "source", n_words(F.col("text")).alias("size")))
