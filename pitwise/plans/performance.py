@@ -62,14 +62,18 @@ def w07(spark, sf):
 
 W07 = f"WITH {GSIDES}, c AS (SELECT id, side, player, day, {COUNT}::DOUBLE AS played FROM gsides) SELECT id, side, coalesce(sum(played) OVER (PARTITION BY player ORDER BY day RANGE BETWEEN 14 PRECEDING AND 1 PRECEDING), 0.0) AS sets_14 FROM c"
 
-LAST10 = Window.partitionBy("player").orderBy("day", "id").rowsBetween(-10, -1)
+
+def last10():
+    return Window.partitionBy("player").orderBy("day", "id").rowsBetween(-10, -1)
+
+
 ROWS10 = "(PARTITION BY player ORDER BY day, id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
 
 
 def w22(spark, sf):
     valid = scores.summary(F.col("score"), F.lit(None).cast("int"))["valid"]
     rows = both(spark, sf).withColumn("valid", valid)
-    return rows.select("id", "side", F.count(F.lit(1)).over(LAST10).alias("rows_10"), F.coalesce(F.sum(F.col("valid").cast("int")).over(LAST10), F.lit(0)).cast("bigint").alias("scored_10"))
+    return rows.select("id", "side", F.count(F.lit(1)).over(last10()).alias("rows_10"), F.coalesce(F.sum(F.col("valid").cast("int")).over(last10()), F.lit(0)).cast("bigint").alias("scored_10"))
 
 
 W22 = f"WITH {GSIDES} SELECT id, side, count(*) OVER {ROWS10} AS rows_10, CAST(coalesce(sum(CAST(id % 11 <> 0 AND id % 13 <> 0 AS INTEGER)) OVER {ROWS10}, 0) AS BIGINT) AS scored_10 FROM gsides"
@@ -78,7 +82,7 @@ W22 = f"WITH {GSIDES} SELECT id, side, count(*) OVER {ROWS10} AS rows_10, CAST(c
 def w23(spark, sf):
     ok = (F.col("price") > 0) & (F.col("discount") > 0)
     rows = both(spark, sf)
-    part = lambda c: F.sum(F.when(ok, F.col(c))).over(LAST10)
+    part = lambda c: F.sum(F.when(ok, F.col(c))).over(last10())
     return rows.select("id", "side", F.round(rates.safe_ratio(part("discount"), part("quantity")) + 1e-10, 6).alias("ratio_10"))
 
 
@@ -86,7 +90,7 @@ W23 = f"WITH {GSIDES} SELECT id, side, round(CASE WHEN sum(CASE WHEN price > 0 A
 
 
 def w24(spark, sf):
-    return both(spark, sf).select("id", "side", r6(F.avg("quantity").over(LAST10)).alias("mean_10"), r6(F.avg(F.when(F.col("tax") > 0, F.col("quantity"))).over(LAST10)).alias("mean_taxed_10"))
+    return both(spark, sf).select("id", "side", r6(F.avg("quantity").over(last10())).alias("mean_10"), r6(F.avg(F.when(F.col("tax") > 0, F.col("quantity"))).over(last10())).alias("mean_taxed_10"))
 
 
 W24 = f"WITH {GSIDES} SELECT id, side, round(avg(quantity) OVER {ROWS10} + 1e-10, 6) AS mean_10, round(avg(CASE WHEN tax > 0 THEN quantity END) OVER {ROWS10} + 1e-10, 6) AS mean_taxed_10 FROM gsides"
@@ -120,7 +124,7 @@ W26 = f"WITH {GSIDES}, g AS (SELECT id, side, player, day, CASE WHEN id % 11 <>
 
 
 def w27(spark, sf):
-    seen = both(spark, sf).select("id", "side", F.avg("quantity").over(LAST10).alias("m"))
+    seen = both(spark, sf).select("id", "side", F.avg("quantity").over(last10()).alias("m"))
     one, two = (seen.where(F.col("side") == s).select("id", F.col("m").alias(f"m{s}")) for s in (1, 2))
     return one.join(two, "id").select("id", r6(F.col("m1")).alias("p1_mean"), r6(F.col("m2")).alias("p2_mean"), r6(F.col("m1") - F.col("m2")).alias("diff"))
 
