@@ -23,27 +23,27 @@ def pair_features(one: Column, two: Column, name: str, lower_is_better: bool = F
     ]
 
 
-#: What stands for an unknown part of a profile.
-PROFILE = {"height": 180.0, "age": 25.0, "rank": 999.0}
+#: What stands for an unknown part of a profile, and the least value that counts as known.
+PROFILE = {"height": (180.0, 1.0), "age": (25.0, 0.0)}
+UNRANKED = 999.0
 
 
 def profile_defaults(height: Column, age: Column, rank: Column, points: Column) -> dict[str, Column]:
     """Unknown or impossible values replaced: 180 cm, 25 years, rank 999; points 0 if unranked, else 500."""
-    r = F.when(rank > 0, rank).otherwise(PROFILE["rank"])
-    return {
-        "height": F.when(height.between(140, 230), height).otherwise(PROFILE["height"]),
-        "age": F.when(age.between(12, 60), age).otherwise(PROFILE["age"]),
-        "rank": r,
-        "points": F.when(points >= 0, points).when(r >= 999, 0.0).otherwise(500.0),
-    }
+    known = lambda c, least: F.when(~F.isnan(c) & (c >= least) & (c < float("inf")), c)
+    r = F.coalesce(F.when(rank > 0, known(rank, 0.0)), F.lit(UNRANKED))
+    parts = {n: F.coalesce(known(c, PROFILE[n][1]), F.lit(PROFILE[n][0])) for n, c in (("height", height), ("age", age))}
+    return parts | {"rank": r, "points": F.coalesce(known(points, 0.0), F.when(r >= UNRANKED, 0.0).otherwise(500.0))}
+
+
+#: The default of last resort for a feature whose name holds a word; the first that fits.
+NAME_DEFAULTS = (("points", 500.0), ("rank", 100.0), ("age", 25.0), ("height", 180.0), ("winrate", 0.5))
 
 
 def feature_default(name: str) -> float:
     """The value of last resort for a feature, by its name."""
-    for part, value in (("rank", 100.0), ("points", 500.0), ("age", 25.0), ("height", 180.0), ("rate", 0.5)):
-        if part in name.lower():
-            return value
-    return 0.0
+    plain = name.lower().replace("_", "")
+    return next((value for word, value in NAME_DEFAULTS if word in plain), 0.0)
 
 
 def fill_by_name(df: DataFrame) -> DataFrame:
@@ -112,33 +112,89 @@ def split_windows(df: DataFrame, year: str, windows: list[tuple[int, int, int, i
     return rows.select(*df.columns, F.col("w.window").alias("window"), part.alias("part"))
 
 
-#: Days from a tournament's start to each round, by draw.
-ROUND_OFFSETS = {32: {"R32": 1, "R16": 3, "QF": 4, "SF": 5, "F": 6}, 64: {"R64": 0, "R32": 2, "R16": 3, "QF": 4, "SF": 5, "F": 6}, 128: {"R128": 0, "R64": 2, "R32": 4, "R16": 6, "QF": 8, "SF": 10, "F": 13}}
+#: Days before the final, by kind of tournament and round.
+BEFORE_FINAL = {
+    "G": {"R128": -13, "R64": -11, "R32": -9, "R16": -6, "QF": -4, "SF": -2, "F": 0, "BR": 0},
+    "M_large": {"R128": -11, "R64": -9, "R32": -7, "R16": -5, "QF": -4, "SF": -2, "F": 0, "BR": 0},
+    "M_medium_long": {"R64": -12, "R32": -10, "R16": -8, "QF": -4, "SF": -2, "F": 0, "BR": 0},
+    "M_medium_short": {"R64": -6, "R32": -4, "R16": -3, "QF": -2, "SF": -1, "F": 0, "BR": 0},
+    "M_small": {"R64": -6, "R32": -5, "R16": -3, "QF": -2, "SF": -1, "F": 0, "BR": 0},
+    "standard": {"R32": -6, "R16": -4, "QF": -2, "SF": -1, "F": 0, "BR": 0},
+}
+#: Days from the start of the main draw to qualifying rounds, where their number is unknown.
+QUALIFYING = {
+    "G": {"Q1": -7, "Q2": -5, "Q3": -3, "Q4": -3},
+    "M": {"Q1": -2, "Q2": -1},
+    "default": {"Q1": -3, "Q2": -2, "Q3": -1, "Q4": -1},
+}
+#: Days from the start for levels without a knock-out week.
+STATIC = {"O": {"RR": 1, "SF": 6, "F": 7}, "D": {"RR": 0, "QF": 0, "SF": 0, "F": 2, "BR": 2}}
+
+
+def _lookup(table: dict[str, dict[str, int]], kind: Column, code: Column) -> Column:
+    flat = F.create_map(*[F.lit(x) for k, rounds in table.items() for r, n in rounds.items() for x in (f"{k}:{r}", n)])
+    return F.coalesce(F.try_element_at(flat, F.concat_ws(":", kind, code)), F.lit(0))
+
+
+def round_day_offset(level: Column, draw: Column, code: Column, start: Column, qualifiers: Column) -> Column:
+    """Days from a tournament's start to a round.
+
+    Knock-out rounds count back from a final on a Sunday: the next one, or that
+    of the second week for two-week events. Qualifying rounds are the days just
+    before the start where their number is known.
+    """
+    weekday = F.weekday(start)
+    to_sunday = F.when(weekday == 6, 7).otherwise(6 - weekday)
+    medium_long = (level == "M") & (draw == 64) & (weekday != 0)
+    large = (level == "M") & (draw >= 96)
+    kind = F.when(level == "G", "G").when(large, "M_large").when(medium_long, "M_medium_long").when((level == "M") & (draw == 64), "M_medium_short").when(level == "M", "M_small").otherwise("standard")
+    final = to_sunday + F.when((level == "G") | large | medium_long, 7).otherwise(0)
+    number = F.substring(code, 2, 1).try_cast("int")
+    group = F.when(level.isin(*[k for k in QUALIFYING if k != "default"]), level).otherwise("default")
+    qualifying = F.coalesce(-(qualifiers - number + 1), _lookup(QUALIFYING, group, code))
+    return F.when(level.isin(*STATIC), _lookup(STATIC, level, code)).when(code.rlike("^Q[1-4]$"), qualifying).otherwise(final + _lookup(BEFORE_FINAL, kind, code))
+
+
+#: Words of a title that tell its level, in the order in which they are tried.
+LEVEL_WORDS = (
+    ("G", ("australian open", "roland garros", "french open", "wimbledon", "us open", "grand slam")),
+    ("M", ("masters", "1000", "indian wells", "miami open", "monte carlo", "madrid", "rome", "canada", "toronto", "montreal", "cincinnati", "shanghai", "paris masters")),
+    ("C", ("challenger",)),
+)
+LEVEL_PATTERNS = (("25", r"\b(m25|25k)\b"), ("15", r"\b(m15|15k)\b|itf.*men|men.*itf"))
 
 
-def round_date(start: Column, draw: Column, round_code: Column) -> Column:
-    """Day of a match from its round: the final is on the Sunday the table leads to, earlier rounds count back from it."""
-    table = F.create_map(*[F.lit(x) for d, rounds in ROUND_OFFSETS.items() for r, n in rounds.items() for x in (f"{d}:{r}", n - rounds["F"])])
-    finals = F.create_map(*[F.lit(x) for d, rounds in ROUND_OFFSETS.items() for x in (d, rounds["F"])])
-    last = F.date_add(start, F.try_element_at(finals, draw))
-    sunday = F.date_add(last, F.pmod(6 - F.weekday(last), F.lit(7)))
-    return F.date_add(sunday, F.try_element_at(table, F.concat_ws(":", draw.cast("string"), round_code)))
+def level_of_title(title: Column) -> Column:
+    """A tournament's level from its title: the first rule that fits, else A."""
+    t, out = F.lower(title), F.when(F.lit(False), "")
+    for level, words in LEVEL_WORDS:
+        out = out.when(t.rlike("|".join(words)), level)
+    for level, pattern in LEVEL_PATTERNS:
+        out = out.when(t.rlike(pattern), level)
+    return out.otherwise("A")
 
 
-def level_of_title(title: Column) -> Column:
-    """A tournament's level from its title; the first rule that fits."""
-    t = F.lower(title)
-    return F.when(t.rlike("wimbledon|roland garros|us open|australian open"), "G").when(t.rlike("masters|1000"), "M").when(t.rlike("challenger|\\bch\\b"), "C").when(t.rlike("itf|futures|\\bm(15|25)\\b"), "S").otherwise("A")
+#: Level codes of each reporting segment.
+SEGMENTS = {"itf": ("15", "15.0", "25", "25.0", "M15", "M25"), "challenger": ("C", "CH", "CHALLENGER"), "atp": ("A", "M", "G", "ATP", "ATP250", "ATP500", "MASTERS", "GRAND_SLAM")}
 
 
-def segment_of_level(level: Column, override: Column | None = None) -> Column:
-    base = F.when(level.isin("G", "M", "A", "F", "D"), "ATP").when(level == "C", "Challenger").when(level.isin("S", "15", "25"), "ITF").otherwise("unknown")
-    return base if override is None else F.coalesce(override, base)
+def segment_of_level(level: Column, title: Column) -> Column:
+    """Reporting segment; a title that says ITF or Challenger comes before the code."""
+    code, t = F.upper(F.trim(level)), F.coalesce(F.lower(title), F.lit(""))
+    return F.when(t.contains("itf") | code.isin(*SEGMENTS["itf"]), "itf").when(t.contains("challenger") | code.isin(*SEGMENTS["challenger"]), "challenger").when(code.isin(*SEGMENTS["atp"]), "atp").otherwise("unclassified")
+
+
+#: Words of a title that tell its surface, then venues that do.
+SURFACE_WORDS = (("Clay", ("clay", "terre")), ("Grass", ("grass", "lawn")), ("Hard", ("hard",)))
+VENUES = (("Clay", ("roland garros", "french open")), ("Grass", ("wimbledon",)), ("Clay", ("monte carlo", "rome", "madrid", "barcelona", "hamburg")))
 
 
 def surface_of_title(title: Column) -> Column:
-    t = F.lower(title)
-    return F.when(t.rlike("clay|roland garros|terre"), "Clay").when(t.rlike("grass|wimbledon"), "Grass").when(t.rlike("carpet"), "Carpet").when(t.rlike("hard|indoor|open"), "Hard")
+    """A surface the title names or its venue has, else null."""
+    t, out = F.lower(title), F.when(F.lit(False), "")
+    for surface, words in (*SURFACE_WORDS, *VENUES):
+        out = out.when(t.rlike("|".join(words)), surface)
+    return out
 
 
 def qualifier_rounds(df: DataFrame, event: str, round_code: str) -> DataFrame:

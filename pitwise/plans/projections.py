@@ -35,21 +35,21 @@ CAST(p_retailprice > p_size * 30.0::DOUBLE AS INTEGER) AS price_advantage, p_siz
 def p03(spark, sf):
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
-    v = fx.profile_defaults(F.when(k % 3 > 0, 100.0 + k % 150), F.when(k % 4 > 0, (k % 80).cast("double")), F.when(k % 5 > 0, (k % 1200).cast("double")), F.when(k % 7 > 0, F.col("c_acctbal")))
+    v = fx.profile_defaults(F.when(k % 3 > 0, (k % 150 - 5).cast("double")), F.when(k % 4 > 0, (k % 80).cast("double")), F.when(k % 5 > 0, (k % 1200).cast("double")), F.when(k % 7 > 0, F.col("c_acctbal")))
     return c.select("c_custkey", *[x.alias(n) for n, x in v.items()])
 
 
-P03 = """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 100.0 + c_custkey % 150 END AS h, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 80 END AS a, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 1200 END AS r, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS b FROM customer)
-SELECT c_custkey, CAST(CASE WHEN h BETWEEN 140 AND 230 THEN h ELSE 180 END AS DOUBLE) AS height, CAST(CASE WHEN a BETWEEN 12 AND 60 THEN a ELSE 25 END AS DOUBLE) AS age, CAST(CASE WHEN r > 0 THEN r ELSE 999 END AS DOUBLE) AS rank,
+P03 = """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 150 - 5 END AS h, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 80 END AS a, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 1200 END AS r, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS b FROM customer)
+SELECT c_custkey, CAST(CASE WHEN h >= 1 THEN h ELSE 180 END AS DOUBLE) AS height, CAST(coalesce(a, 25) AS DOUBLE) AS age, CAST(CASE WHEN r > 0 THEN r ELSE 999 END AS DOUBLE) AS rank,
 CAST(CASE WHEN b >= 0 THEN b WHEN NOT coalesce(r > 0, false) OR r >= 999 THEN 0 ELSE 500 END AS DOUBLE) AS points FROM p"""
 
 
 def p05(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("points_won"), F.when(F.col("c_custkey") % 3 == 0, 0.25).alias("rate_90"), F.when(F.col("c_custkey") % 5 == 0, 3.0).alias("n_14"))
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("points_won"), F.when(F.col("c_custkey") % 3 == 0, 0.25).alias("win_rate_90"), F.when(F.col("c_custkey") % 5 == 0, 3.0).alias("n_14"))
     return fx.fill_by_name(c)
 
 
-P05 = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 500.0 END AS points_won, CASE WHEN c_custkey % 3 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS rate_90, CASE WHEN c_custkey % 5 = 0 THEN 3.0 ELSE 0.0 END::DOUBLE AS n_14 FROM customer"
+P05 = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 500.0 END AS points_won, CASE WHEN c_custkey % 3 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS win_rate_90, CASE WHEN c_custkey % 5 = 0 THEN 3.0 ELSE 0.0 END::DOUBLE AS n_14 FROM customer"
 LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -87,19 +87,24 @@ P10 = """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM order
 isoyear(d) || '-' || lpad(CAST(week(d) AS VARCHAR), 2, '0') AS week, date_diff('day', DATE '1970-01-01', CAST(date_trunc('week', d) AS DATE)) AS monday FROM o"""
 
 
+LEVEL_OF, DRAWS, CODES = ("G", "M", "A", "C", "O", "D"), (32, 48, 64, 96, 128), ("R64", "R32", "R16", "QF", "SF", "F", "Q1", "Q3", "RR")
+
+
 def p12(spark, sf):
-    draw = F.element_at(F.array(F.lit(32), F.lit(64), F.lit(128)), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    code = F.element_at(F.array(*map(F.lit, ("R32", "R16", "QF", "SF", "F"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    start = F.to_date("o_orderdate")
-    return table(spark, sf, "orders").select("o_orderkey", fx.round_date(start, draw, code).cast("string").alias("played"))
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    key, start = F.col("o_orderkey"), F.to_date("o_orderdate")
+    offset = fx.round_day_offset(pick(LEVEL_OF, key), pick(DRAWS, key), pick(CODES, key), start, F.when(key % 2 == 0, 3))
+    return table(spark, sf, "orders").select("o_orderkey", offset.alias("days"), F.date_add(start, offset).cast("string").alias("played"))
 
 
 def _p12_sql() -> str:
-    finals = " ".join(f"WHEN {d} THEN {r['F']}" for d, r in fx.ROUND_OFFSETS.items())
-    back = " ".join(f"WHEN '{d}:{k}' THEN {n - r['F']}" for d, r in fx.ROUND_OFFSETS.items() for k, n in r.items())
-    return f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, [32, 64, 128][o_orderkey % 3 + 1] AS draw, ['R32', 'R16', 'QF', 'SF', 'F'][o_orderkey % 5 + 1] AS code FROM orders),
-f AS (SELECT *, d + CAST(CASE draw {finals} END AS INTEGER) AS f FROM o), s AS (SELECT *, f + CAST((7 - isodow(f)) % 7 AS INTEGER) AS sunday FROM f)
-SELECT o_orderkey, CAST(sunday + CAST(CASE draw || ':' || code {back} END AS INTEGER) AS VARCHAR) AS played FROM s"""
+    cases = lambda t, k: "CASE " + k + " || ':' || code " + " ".join(f"WHEN '{a}:{r}' THEN {n}" for a, rs in t.items() for r, n in rs.items()) + " ELSE 0 END"
+    pick = lambda v: "[" + ", ".join(repr(x) for x in v) + f"][o_orderkey % {len(v)} + 1]"
+    return f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, {pick(LEVEL_OF)} AS level, {pick(DRAWS)} AS draw, {pick(CODES)} AS code, CASE WHEN o_orderkey % 2 = 0 THEN 3 END AS nq FROM orders),
+k AS (SELECT *, isodow(d) - 1 AS dow, CASE WHEN level = 'G' THEN 'G' WHEN level = 'M' AND draw >= 96 THEN 'M_large' WHEN level = 'M' AND draw = 64 AND isodow(d) <> 1 THEN 'M_medium_long' WHEN level = 'M' AND draw = 64 THEN 'M_medium_short' WHEN level = 'M' THEN 'M_small' ELSE 'standard' END AS kind FROM o),
+f AS (SELECT *, CASE WHEN dow = 6 THEN 7 ELSE 6 - dow END + CASE WHEN kind IN ('G', 'M_large', 'M_medium_long') THEN 7 ELSE 0 END AS final FROM k),
+r AS (SELECT o_orderkey, d, CAST(CASE WHEN level IN ('O', 'D') THEN {cases(fx.STATIC, 'level')} WHEN code IN ('Q1', 'Q2', 'Q3', 'Q4') THEN coalesce(-(nq - CAST(code[2] AS INTEGER) + 1), {cases(fx.QUALIFYING, "CASE WHEN level IN ('G', 'M') THEN level ELSE 'default' END")}) ELSE final + {cases(fx.BEFORE_FINAL, 'kind')} END AS INTEGER) AS days FROM f)
+SELECT o_orderkey, days, CAST(d + days AS VARCHAR) AS played FROM r"""
 
 
 def p13(spark, sf):
@@ -111,19 +116,21 @@ P13 = "SELECT o_custkey AS event, count(DISTINCT CASE o_orderkey % 5 WHEN 0 THEN
 
 
 def p16(spark, sf):
-    level = fx.level_of_title(F.concat_ws(" ", F.col("p_type"), F.when(F.col("p_partkey") % 4 == 0, "Masters 1000").when(F.col("p_partkey") % 4 == 1, "Challenger").when(F.col("p_partkey") % 4 == 2, "ITF M15")))
-    return table(spark, sf, "part").select("p_partkey", level.alias("level"), fx.segment_of_level(level).alias("segment"))
+    k = F.col("p_partkey") % 5
+    title = F.concat_ws(" ", F.col("p_type"), F.when(k == 0, "Masters 1000").when(k == 1, "Challenger").when(k == 2, "M25").when(k == 3, "ITF Men"))
+    level = fx.level_of_title(title)
+    return table(spark, sf, "part").select("p_partkey", level.alias("level"), fx.segment_of_level(level, title).alias("segment"))
 
 
-P16 = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'C' WHEN 2 THEN 'S' ELSE 'A' END AS level, CASE p_partkey % 4 WHEN 1 THEN 'Challenger' WHEN 2 THEN 'ITF' ELSE 'ATP' END AS segment FROM part"
+P16 = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'C' WHEN 2 THEN '25' WHEN 3 THEN '15' ELSE 'A' END AS level, CASE p_partkey % 5 WHEN 1 THEN 'challenger' WHEN 2 THEN 'itf' WHEN 3 THEN 'itf' ELSE 'atp' END AS segment FROM part"
 
 
 def p17(spark, sf):
-    title = F.concat_ws(" ", F.lit("City"), F.when(F.col("p_size") % 4 == 0, "Clay Trophy").when(F.col("p_size") % 4 == 1, "Grass Court").when(F.col("p_size") % 4 == 2, "Open"))
+    title = F.concat_ws(" ", F.lit("City"), F.when(F.col("p_size") % 4 == 0, "Clay Trophy").when(F.col("p_size") % 4 == 1, "Lawn Court").when(F.col("p_size") % 4 == 2, "Barcelona Open"))
     return table(spark, sf, "part").select("p_partkey", fx.surface_of_title(title).alias("surface"))
 
 
-P17 = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Clay' WHEN 1 THEN 'Grass' WHEN 2 THEN 'Hard' END AS surface FROM part"
+P17 = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Clay' WHEN 1 THEN 'Grass' WHEN 2 THEN 'Clay' END AS surface FROM part"
 
 
 def p18(spark, sf):

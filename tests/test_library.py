@@ -155,6 +155,13 @@ def test_swapping_sides_mirrors_pair_features(spark):
         assert r.f.x_advantage + r.g.x_advantage == (r.f.x_diff != 0)
 
 
+def test_round_offsets_by_hand(spark):
+    rows = [("G", 128, "F", "2024-05-26", None, 14), ("M", 96, "R64", "2024-03-06", None, 2), ("M", 64, "R64", "2024-08-05", None, 0), ("M", 64, "R16", "2024-04-24", None, 3), ("A", 32, "R32", "2024-02-05", None, 0), ("A", 32, "Q1", "2024-02-05", 2, -2), ("M", 96, "Q1", "2024-03-06", None, -2), ("O", 8, "RR", "2024-11-10", None, 1), ("C", 32, "QF", "2024-02-05", None, 4)]
+    df = spark.createDataFrame(rows, "level string, draw int, code string, start string, nq int, want int").withColumn("start", F.to_date("start"))
+    got = df.select("want", features.round_day_offset(*[F.col(c) for c in ("level", "draw", "code", "start", "nq")]).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_upsert_twice_changes_nothing(spark):
     old = spark.createDataFrame([("a", 1, "open"), ("b", 1, "won")], "k string, at int, state string")
     new = spark.createDataFrame([("a", 2, "won"), ("b", 2, "open")], "k string, at int, state string")
