@@ -37,7 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: like :func:`cut`, but columnar and compressed."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/pitwise/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`stored` table once all that was made of it is itself cut."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
