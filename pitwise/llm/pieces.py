@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Runs whose ids a Python worker keeps at most; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 150_000
 SPACE = "▁"
 _runs = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
