@@ -130,17 +130,19 @@ def wide_links(nodes: DataFrame, lanes: int, most: int) -> DataFrame:
     """Edges (a, b) between the ``id`` of wide fingerprints that share a 24-bit block and differ in at most ``most`` bits.
 
     Near-duplicates of the stated similarity differ in far more bits than two,
-    so the blocks are many: two for each lane. A block that very many share is
-    compared with two of its members, drawn anew for each block.
+    so the blocks are many: three for each lane, which overlap by four bits. A
+    block that very many share is compared with two of its members; a salt for
+    each block orders its members, so that blocks choose different ones.
     """
-    blocks = [F.struct(F.lit(2 * i + j).alias("c"), F.shiftright(F.col("fp")[i], 24 * j).bitwiseAND(F.lit((1 << 24) - 1)).alias("key")) for i in range(lanes) for j in range(2)]
-    keyed = nodes.select("id", F.explode(F.array(*blocks)).alias("k")).select("k.c", "k.key", F.struct(F.xxhash64("k.c", "id").alias("draw"), F.col("id")).alias("m"))
+    blocks = [F.struct(F.lit(3 * i + j).alias("c"), F.shiftright(F.col("fp")[i], 20 * j).bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("key")) for i in range(lanes) for j in range(3)]
+    keyed = nodes.select("id", F.explode(F.array(*blocks)).alias("k")).select("k.c", "k.key", F.col("id").bitwiseXOR(F.xxhash64("k.c")).alias("m"))
     groups = cut(keyed.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi")).where("n > 1"))
-    pairs = groups.where("n = 2").select(F.col("lo.id").alias("a"), F.col("hi.id").alias("b"))
+    plain = lambda m: F.col(m).bitwiseXOR(F.xxhash64("c"))
+    pairs = groups.where("n = 2").select(plain("lo").alias("a"), plain("hi").alias("b"))
     members = keyed.join(groups.where("n > 2"), ["c", "key"])
-    few = members.where(F.col("n") <= PAIRWISE).select("c", "key", "m.id")
+    few = members.where(F.col("n") <= PAIRWISE).select("c", "key", plain("m").alias("id"))
     few = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["c", "key"]).where("a < b").select("a", "b")
-    many = members.where(F.col("n") > PAIRWISE).select(F.explode(F.array("lo.id", "hi.id")).alias("a"), F.col("m.id").alias("b"))
+    many = members.where(F.col("n") > PAIRWISE).select(F.explode(F.array(plain("lo"), plain("hi"))).alias("a"), plain("m").alias("b"))
     pairs = pairs.unionByName(few).unionByName(many).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = nodes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
