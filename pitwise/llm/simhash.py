@@ -20,8 +20,8 @@ and ``text`` are read, so further columns cannot clash.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import cut
+from pitwise.llm import setjoin
+from pitwise.llm.common import cut, discard, stored
 from pitwise.llm.components import components
 
 #: Fingerprints sharing a block key are compared in pairs up to this many; beyond it, through midpoints.
@@ -126,42 +127,25 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_links(nodes: DataFrame, lanes: int, most: int) -> DataFrame:
-    """Edges (a, b) between the ``id`` of wide fingerprints that share a 24-bit block and differ in at most ``most`` bits.
-
-    Near-duplicates of the stated similarity differ in far more bits than two,
-    so the blocks are many: three for each lane, which overlap by four bits. A
-    block that very many share is compared with two of its members; a salt for
-    each block orders its members, so that blocks choose different ones.
-    """
-    blocks = [F.struct(F.lit(3 * i + j).alias("c"), F.shiftright(F.col("fp")[i], 20 * j).bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("key")) for i in range(lanes) for j in range(3)]
-    keyed = nodes.select("id", F.explode(F.array(*blocks)).alias("k")).select("k.c", "k.key", F.col("id").bitwiseXOR(F.xxhash64("k.c")).alias("m"))
-    groups = cut(keyed.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi")).where("n > 1"))
-    plain = lambda m: F.col(m).bitwiseXOR(F.xxhash64("c"))
-    pairs = groups.where("n = 2").select(plain("lo").alias("a"), plain("hi").alias("b"))
-    members = keyed.join(groups.where("n > 2"), ["c", "key"])
-    few = members.where(F.col("n") <= PAIRWISE).select("c", "key", plain("m").alias("id"))
-    few = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["c", "key"]).where("a < b").select("a", "b")
-    many = members.where(F.col("n") > PAIRWISE).select(F.explode(F.array(plain("lo"), plain("hi"))).alias("a"), plain("m").alias("b"))
-    pairs = pairs.unionByName(few).unionByName(many).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = nodes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
-
-
-def unique_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 16) -> DataFrame:
+def unique_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates: its smallest doc_id, with all columns.
 
-    ``similarity`` is the Jaccard similarity of shingle sets, which decides how
-    many bits two fingerprints may differ in (the angle between the sets).
+    Two documents are linked where the Jaccard similarity of their shingle sets
+    is ``similarity`` or more. All such pairs count (:mod:`pitwise.llm.setjoin`),
+    and a shingle counts once however often a text repeats it.
     """
-    most = round(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    prints = cut(fingerprints(docs, size, lanes).withColumn("id", F.xxhash64("fp")))
-    nodes = cut(prints.groupBy("id").agg(F.first("fp").alias("fp")))
-    roots = components(wide_links(nodes, lanes, most))
-    rooted = prints.select("doc_id", "mark", "id").join(roots, prints.id == roots.node, "left")
-    one = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("mark"))).alias("one"))
-    one = one.select(F.col("one.doc_id").alias("one_id"), F.col("one.mark").alias("one_mark"))
+    shingles = partial(shingle_hashes, size=size)
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("body"))
+    wide = stored(setjoin.prefixes(texts, shingles, similarity, *setjoin.frequent_hashes(texts, shingles)))
+    prints = cut(wide.select("doc_id", "mark", "id"))
+    roots = setjoin.linked(texts, wide, shingles, similarity)
+    discard(wide)
+    rooted = prints.join(roots, prints.id == roots.node, "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
+    rooted = rooted.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times"))
+    one = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("mark"), F.col("times"))).alias("one"))
+    one = cut(one.select(F.col("one.doc_id").alias("one_id"), F.col("one.mark").alias("one_mark"), F.col("one.times").alias("times")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("key_id"), F.xxhash64("text").alias("key_mark"))
-    rows = rows.join(one, rows.key_id.eqNullSafe(one.one_id) & (rows.key_mark == one.one_mark), "left_semi")
-    return rows.dropDuplicates(["key_id", "key_mark"]).select("doc.*")
+    rows = rows.join(one, rows.key_id.eqNullSafe(one.one_id) & (rows.key_mark == one.one_mark)).select("doc", "key_id", "key_mark", "times")
+    # only rows that are there more than once are dealt out again
+    again = rows.where("times > 1").dropDuplicates(["key_id", "key_mark"])
+    return rows.where("times = 1").unionByName(again).select("doc.*")
