@@ -129,6 +129,24 @@ def test_unique_documents_finds_every_pair_of_short_near_copies(spark):
     assert sorted(x["doc_id"] for x in rows_of(simhash.unique_documents(docs))) == kept_by_brute_force(texts)
 
 
+def test_unique_documents_compares_mixed_families_of_one_block(spark):
+    texts, shared = [], words(150, 1)
+    for family in range(5):  # one template, and each family's own words
+        base = f"{shared} {words(60, 50 + family)}".split()
+        texts += [" ".join(f"new{k}" if i == 3 * k + family else w for i, w in enumerate(base)) for k in range(24)]
+    for family in range(3):  # each text changes one more word of the last one, so the first is like few of them
+        base = words(64, 80 + family).split()
+        order = random.Random(family).sample(range(64), 40)
+        for k, at in enumerate(order):
+            base[at] = f"step{k}"
+            texts.append(" ".join(base))
+    order = random.Random(9).sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    want = kept_by_brute_force(texts)
+    assert sorted(x["doc_id"] for x in rows_of(simhash.unique_documents(docs))) == want and len(want) >= 8
+
+
 # 2 syncmers
 
 
