@@ -147,6 +147,17 @@ def test_unique_documents_compares_mixed_families_of_one_block(spark):
     assert sorted(x["doc_id"] for x in rows_of(simhash.unique_documents(docs))) == want and len(want) >= 8
 
 
+def test_unique_documents_counts_a_repeated_shingle_once(spark):
+    line = " ".join(f"say{i}" for i in range(10))
+    texts = [" ".join(f"{line} {words(23, 1000 * s + k)}" for k in range(40)) for s in range(1, 4)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    assert simhash.unique_documents(docs).count() == 3
+
+    blocks = [" ".join([line] * 40 + [words(930, s)]) for s in range(2)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(blocks)], SCHEMA)
+    assert simhash.unique_documents(docs).count() == 2
+
+
 # 2 syncmers
 
 
