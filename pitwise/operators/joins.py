@@ -69,14 +69,35 @@ def resolve_in_stages(names: DataFrame, known: DataFrame, stages: list[tuple[str
     return out.select(uid, F.coalesce(*hits).alias(target), stage.alias("stage"))
 
 
+def grams(df: DataFrame, column: str, size: int) -> DataFrame:
+    """A row for each distinct run of ``size`` letters (one less for strings below eight letters), as ``gram``."""
+    n = F.when(F.length(column) < 8, size - 1).otherwise(size)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, n))
+    # short and long strings may meet: long ones carry the shorter runs too
+    short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - size + 2, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(size - 1)))
+    return df.withColumn("gram", F.explode(F.array_distinct(F.when(F.length(column) < 12, F.concat(runs, short)).otherwise(runs))))
+
+
 def best_by_tokens(left: DataFrame, right: DataFrame, uid: str, target: str, tokens: str, least: float, margin: float) -> DataFrame:
     """Best Jaccard match of token sets, refused below ``least`` or if the runner-up is within ``margin``.
 
-    Candidates share a token (an inverted index), never all pairs.
+    Candidates share one of the rarest tokens of both (an inverted index on
+    prefixes): sets that are alike to ``least - margin`` or more share a token
+    among the first ``n - ceil((least - margin) * n) + 1`` of each, and worse ones
+    can neither win nor stand in the way.
     """
-    a = left.select(uid, F.col(tokens).alias("ta"), F.explode(tokens).alias("token"))
-    b = right.select(target, F.col(tokens).alias("tb"), F.explode(tokens).alias("token"))
-    pairs = a.join(b, "token").select(uid, target, jaccard(F.col("ta"), F.col("tb")).alias("score")).distinct()
+    floor = least - margin
+    a, b = left.select(uid, F.col(tokens).alias("ta")), right.select(target, F.col(tokens).alias("tb"))
+    counts = b.select(F.explode("tb").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(df: DataFrame, key: str, column: str) -> DataFrame:
+        ranked = df.select(key, column, F.explode(column).alias("token")).join(counts, "token", "left")
+        size = F.size(column)
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "token"))
+        return ranked.withColumn("place", place).where(F.col("place") <= size - F.ceil(floor * size - 1e-9) + 1).select(key, column, "token")
+
+    pairs = prefixes(a, uid, "ta").join(prefixes(b, target, "tb"), "token").groupBy(uid, target).agg(F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    pairs = pairs.select(uid, target, jaccard(F.col("ta"), F.col("tb")).alias("score"))
     order = Window.partitionBy(uid).orderBy(F.desc("score"), target)
     ranked = pairs.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("place = 1")
     return ranked.where((F.col("score") >= least) & (F.col("score") - F.coalesce("next", F.lit(0.0)) > margin)).select(uid, target, "score")

@@ -49,3 +49,27 @@ def contract_issues(df: DataFrame, features: list[str]) -> list[str]:
     """What keeps a table from being scored: missing, unexpected or non-numeric features."""
     kinds = dict(df.dtypes)
     return [f"missing:{f}" for f in features if f not in kinds] + [f"type:{f}" for f in features if f in kinds and kinds[f] not in ("double", "float", "int", "bigint")]
+
+
+STATES = ("candidate", "shadow", "active", "retired")
+
+
+def registry_issues(registry: DataFrame) -> DataFrame:
+    """model and issue of every registry row that breaks the contract. Rows: model, family, features, declared, sha256, state.
+
+    Features are listed once each, as many as declared, and hash (joined by lines)
+    to ``sha256``; the state is a known one; a family has one active model at most.
+    """
+    features = F.coalesce("features", F.array().cast("array<string>"))
+    active = registry.where("state = 'active'").groupBy("family").agg(F.count(F.lit(1)).alias("_active"))
+    rows = registry.join(active, "family", "left")
+    checks = {
+        "empty": F.size(features) == 0,
+        "repeated": F.size(F.array_distinct(features)) < F.size(features),
+        "count": ~F.size(features).eqNullSafe(F.col("declared").cast("int")),
+        "hash": ~F.sha2(F.array_join(features, "\n"), 256).eqNullSafe(F.col("sha256")),
+        "state": ~F.coalesce(F.col("state").isin(*STATES), F.lit(False)),
+        "active": (F.col("state") == "active") & (F.col("_active") > 1),
+    }
+    issues = F.filter(F.array(*[F.when(c, name) for name, c in checks.items()]), lambda x: x.isNotNull())
+    return rows.select("model", F.explode(issues).alias("issue"))

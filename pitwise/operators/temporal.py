@@ -22,15 +22,20 @@ def before(keys: list[str], days: int | None = None, day: str = "day") -> Window
     return Window.partitionBy(*keys).orderBy(day).rangeBetween(EVER if days is None else -days, -1)
 
 
+def sliding_sum(value: Column, keys: list[str], days: int | None, day: str = "day") -> Column:
+    """Sum of whole numbers over the ``days`` days before: the difference of two growing frames, which Spark extends row by row, where it sums a moving frame anew for every row."""
+    total = lambda last: F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(day).rangeBetween(EVER, last)), F.lit(0))
+    return total(-1) if days is None else total(-1) - total(-days - 1)
+
+
 def prior_count(keys: list[str], days: int | None = None) -> Column:
-    return F.count(F.lit(1)).over(before(keys, days))
+    return sliding_sum(F.lit(1).cast("bigint"), keys, days)
 
 
 def prior_rate(keys: list[str], won: str = "won", days: int | None = None, only: Column | None = None) -> Column:
     """Smoothed rate of known outcomes (null ones do not count), of the rows where ``only`` holds."""
-    value = F.col(won).cast("double") if only is None else F.when(only, F.col(won).cast("double"))
-    w = before(keys, days)
-    return laplace(F.sum(value).over(w), F.count(value).over(w))
+    value = F.col(won) if only is None else F.when(only, F.col(won))
+    return laplace(sliding_sum(value.cast("bigint"), keys, days), sliding_sum(value.isNotNull().cast("bigint"), keys, days))
 
 
 def form_trend(keys: list[str], won: str = "won", days: int = 30, constant: float = 15.0, day: str = "day") -> Column:
@@ -92,15 +97,20 @@ def recent_complete_days(df: DataFrame, keys: list[str], last: int = 10, days: i
     """``recent_n`` and ``recent_wins`` of the last ``last`` known rows in ``days`` days.
 
     A day counts whole or ends the walk: days are added from the newest back
-    until one would make more than ``last`` rows. Each day's list of earlier
-    days is bounded by the day range, not by the rows.
+    until one would make more than ``last`` rows. So ``last`` known days matter at
+    most: each known day holds a list of these up to itself, and every day looks
+    at the list of the latest known day before it.
     """
-    daily = by_day(df.where(F.col(won).isNotNull()), keys, won, day)
-    targets = df.select(*keys, F.col(day).alias("target")).distinct()
-    pairs = targets.join(daily, keys).where(F.col(day).between(F.col("target") - days, F.col("target") - 1))
-    upto = Window.partitionBy(*keys, "target").orderBy(F.desc(day)).rowsBetween(EVER, 0)
-    pairs = pairs.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= last)
-    found = pairs.groupBy(*keys, F.col("target").alias(day)).agg(F.sum("n").alias("recent_n"), F.sum("wins").alias("recent_wins"))
+    order = Window.partitionBy(*keys).orderBy(day)
+    daily = by_day(df.where(F.col(won).isNotNull()), keys, won, day).withColumn("total", F.sum("n").over(order))
+    daily = daily.withColumn("held", F.collect_list(F.struct(F.col(day).alias("at"), "n", "wins", "total")).over(order.rowsBetween(1 - last, 0)))
+    targets = df.select(*keys, day).distinct().withColumn("held", F.lit(None).cast(daily.schema["held"].dataType))
+    both = targets.withColumn("target", F.lit(True)).unionByName(daily.select(*keys, day, "held", F.lit(False).alias("target")))
+    both = both.withColumn("held", F.last("held", ignorenulls=True).over(before(keys, None, day))).where("target and held is not null")
+    newest = F.element_at("held", -1)["total"]
+    whole = F.filter("held", lambda x: (x["at"] >= F.col(day) - days) & (newest - x["total"] + x["n"] <= last))
+    total = lambda k: F.aggregate(whole, F.lit(0).cast("bigint"), lambda a, x: a + x[k])
+    found = both.select(*keys, day, total("n").alias("recent_n"), total("wins").alias("recent_wins"))
     return df.join(found, [*keys, day], "left").fillna(0, ["recent_n", "recent_wins"])
 
 

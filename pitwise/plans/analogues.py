@@ -35,13 +35,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("player"), day_number(F.col("o_orderdate")).alias("day"), won.alias("won"), F.col("o_orderpriority").alias("surface"), F.col("o_totalprice").alias("rank"))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided results; ``id`` counts the lines of each order in the order of all their columns."""
+def matches(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """Two-sided results; ``id`` counts the lines of each order in the order of all their columns. ``wide``: every customer and supplier is a player, not 40 groups of them."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     won = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0)
     rows = l.join(o, l.l_orderkey == o.o_orderkey)
     ident = F.col("l_orderkey") * 100 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*MATCH_ORDER))
-    return rows.select(ident.cast("bigint").alias("id"), (F.col("o_custkey") % 20).alias("p1"), (20 + F.col("l_suppkey") % 20).alias("p2"), day_number(F.col("l_shipdate")).alias("day"), won.alias("won"), F.col("l_linestatus").alias("level"), F.col("l_linenumber").alias("n"), F.col("l_orderkey").alias("orderkey"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
+    return rows.select(ident.cast("bigint").alias("id"), (F.col("o_custkey") if wide else F.col("o_custkey") % 20).alias("p1"), (F.col("l_suppkey") + 1_000_000_000 if wide else 20 + F.col("l_suppkey") % 20).alias("p2"), day_number(F.col("l_shipdate")).alias("day"), won.alias("won"), F.col("l_linestatus").alias("level"), F.col("l_linenumber").alias("n"), F.col("l_orderkey").alias("orderkey"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

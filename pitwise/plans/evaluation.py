@@ -133,6 +133,10 @@ def a19(spark, sf):
     return g.select("segment", "bucket", "n", "hits", r6(ev.binomial_tail(F.col("hits"), F.col("n"), F.col("share"))).alias("p_value"))
 
 
+A19 = f"""WITH {LOG}, g AS (SELECT segment, CAST(floor(p_nn * 20) AS INTEGER) AS bucket, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, avg(1 / odds1) AS share FROM log GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT segment, bucket, n, hits, round(least(1.0, list_sum(list_transform(range(hits, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(share) + (n - k) * ln(1 - share))))) + 1e-10, 6) AS p_value FROM g"""
+
+
 def a20(spark, sf):
     l = prediction_log(spark, sf).where("y = 0")
     return l.withColumn("quintile", F.ntile(5).over(Window.partitionBy("segment").orderBy("odds1", "uid"))).groupBy("segment", "quintile").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("odds1"), 6).alias("lo"), F.round(F.max("odds1"), 6).alias("hi"))
@@ -304,7 +308,7 @@ QUERIES = {
     "a15_contingency": (a15, A15),
     "a16_binned": (a16, A16),
     "a18_bucket_roi": (a18, A18),
-    "a19_binomial": (a19, None),
+    "a19_binomial": (a19, A19),
     "a20_quintiles": (a20, A20),
     "a21_yearly_vs_baseline": (a21, A21),
     "a23_top_tokens": (a23, A23),

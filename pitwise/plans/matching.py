@@ -128,26 +128,28 @@ J15 = f"WITH {LONG}, s AS (SELECT * FROM scored WHERE NOT (model = 'rf' AND uid
 
 
 def j16(spark, sf):
-    """Part names against parts of one brand: exact, then letters alone, then the last word."""
+    """Part names, as written elsewhere, against all parts: exact, then letters alone, then brand and last word."""
     p = table(spark, sf, "part")
-    known = p.where("p_brand = 'Brand#2'").select(F.col("p_partkey").alias("target"), F.col("p_name").alias("k0"), tx.name_key(F.concat_ws(" ", "p_name", "p_type")).alias("k1"), tx.surname(F.col("p_name")).alias("k2"))
-    names = p.select("p_partkey", F.col("p_name").alias("a0"), tx.name_key(F.concat_ws(" ", F.upper("p_name"), "p_type")).alias("a1"), tx.surname(F.col("p_name")).alias("a2"))
+    known = p.select(F.col("p_partkey").alias("target"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("k0"), tx.name_key(F.concat_ws(" ", "p_name", "p_type")).alias("k1"), F.concat_ws(" ", "p_brand", tx.surname(F.col("p_name"))).alias("k2"))
+    names = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("a0"), tx.name_key(F.concat_ws(" ", F.upper("p_name"), "p_type")).alias("a1"), F.concat_ws(" ", "p_brand", tx.surname(F.col("p_name"))).alias("a2"))
     return joins.resolve_in_stages(names, known, [("a0", "k0"), ("a1", "k1"), ("a2", "k2")], "p_partkey", "target")
 
 
-J16 = """WITH n AS (SELECT p_partkey, p_name AS a0, regexp_replace(lower(p_name || ' ' || p_type), '[^a-z]', '', 'g') AS a1, string_split(p_name, ' ')[-1] AS a2, p_brand FROM part), k AS (SELECT * FROM n WHERE p_brand = 'Brand#2'),
-k0 AS (SELECT a0, min(p_partkey) AS t FROM k GROUP BY a0 HAVING count(*) = 1), k1 AS (SELECT a1, min(p_partkey) AS t FROM k GROUP BY a1 HAVING count(*) = 1), k2 AS (SELECT a2, min(p_partkey) AS t FROM k GROUP BY a2 HAVING count(*) = 1)
+J16 = """WITH n AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS a0, regexp_replace(lower(p_name || ' ' || p_type), '[^a-z]', '', 'g') AS a1, p_brand || ' ' || string_split(p_name, ' ')[-1] AS a2 FROM part),
+k0 AS (SELECT a0, min(p_partkey) AS t FROM n GROUP BY a0 HAVING count(*) = 1), k1 AS (SELECT a1, min(p_partkey) AS t FROM n GROUP BY a1 HAVING count(*) = 1), k2 AS (SELECT a2, min(p_partkey) AS t FROM n GROUP BY a2 HAVING count(*) = 1)
 SELECT p_partkey, coalesce(k0.t, k1.t, k2.t) AS target, CAST(CASE WHEN k0.t IS NOT NULL THEN 0 WHEN k1.t IS NOT NULL THEN 1 WHEN k2.t IS NOT NULL THEN 2 END AS INTEGER) AS stage FROM n LEFT JOIN k0 USING (a0) LEFT JOIN k1 USING (a1) LEFT JOIN k2 USING (a2)"""
 
 
 def j18(spark, sf):
-    p = table(spark, sf, "part").withColumn("tokens", tx.tokens(F.concat_ws(" ", "p_name", "p_brand")))
-    a, b = p.where("p_partkey % 40 = 0").select("p_partkey", "tokens"), p.where("p_partkey % 97 = 1").select(F.col("p_partkey").alias("target"), "tokens")
-    return joins.best_by_tokens(a, b, "p_partkey", "target", "tokens", 0.4, 0.05).select("p_partkey", "target", r6(F.col("score")).alias("score"))
+    """Every part's title against the catalogue of names and brands."""
+    p = table(spark, sf, "part")
+    known = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("target")).select("target", tx.tokens(F.concat_ws(" ", "p_name", "p_brand")).alias("tokens"))
+    titles = p.select("p_partkey", tx.tokens(F.concat_ws(" ", "p_type", "p_name", "p_brand")).alias("tokens"))
+    return joins.best_by_tokens(titles, known, "p_partkey", "target", "tokens", 0.4, 0.05).select("p_partkey", "target", r6(F.col("score")).alias("score"))
 
 
-J18 = """WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS k FROM part),
-s AS (SELECT a.p_partkey, b.p_partkey AS target, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS score FROM t a JOIN t b ON a.p_partkey % 40 = 0 AND b.p_partkey % 97 = 1 AND list_has_any(a.k, b.k)),
+J18 = """WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name || ' ' || p_brand), '[a-z0-9]+')) AS k FROM part), c AS (SELECT min(p_partkey) AS target, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS k FROM part GROUP BY p_name, p_brand),
+s AS (SELECT a.p_partkey, b.target, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS score FROM t a JOIN c b ON list_has_any(a.k, b.k)),
 r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC, target)) SELECT p_partkey, target, round(score + 1e-10, 6) AS score FROM r WHERE place = 1 AND score >= 0.4 AND score - coalesce(nxt, 0) > 0.05"""
 
 
@@ -297,11 +299,11 @@ U02 = "SELECT c_custkey AS k, c_mktsegment, 'customer' AS source, NULL::DOUBLE A
 
 
 def u03(spark, sf):
-    a, b = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")), table(spark, sf, "supplier").where("s_suppkey < 30").select(F.col("s_nationkey").alias("n"))
+    a, b = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")), table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n"))
     return a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.subtract(b).withColumn("kind", F.lit("first only")))
 
 
-U03 = "SELECT n, 'both' AS kind FROM (SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30) UNION ALL SELECT n, 'first only' FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30)"
+U03 = "SELECT n, 'both' AS kind FROM (SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT n, 'first only' FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)"
 
 
 def u05(spark, sf):

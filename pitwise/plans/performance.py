@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitwise.functions import rates, scores
+from pitwise.operators import performance as perf
 from pitwise.operators import temporal as t
 from pitwise.plans.analogues import LOG, MATCHES, matches, prediction_log
 from pitwise.plans.point_in_time import BOTH, r6
@@ -70,9 +71,13 @@ def last10():
 ROWS10 = "(PARTITION BY player ORDER BY day, id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
 
 
+def parsed(spark, sf):
+    """Both sides of every match; its score is read once, before the sides."""
+    return t.sides(games(spark, sf).withColumn("read", scores.summary(F.col("score"), F.lit(None).cast("int"))).drop("score"), "p1", "p2", "won")
+
+
 def w22(spark, sf):
-    valid = scores.summary(F.col("score"), F.lit(None).cast("int"))["valid"]
-    rows = both(spark, sf).withColumn("valid", valid)
+    rows = parsed(spark, sf).withColumn("valid", F.col("read.valid"))
     return rows.select("id", "side", F.count(F.lit(1)).over(last10()).alias("rows_10"), F.coalesce(F.sum(F.col("valid").cast("int")).over(last10()), F.lit(0)).cast("bigint").alias("scored_10"))
 
 
@@ -97,13 +102,11 @@ W24 = f"WITH {GSIDES} SELECT id, side, round(avg(quantity) OVER {ROWS10} + 1e-10
 
 
 def w25(spark, sf):
-    s = scores.summary(F.col("score"), F.lit(None).cast("int"))
-    rows = both(spark, sf).withColumn("s", s)
-    won = F.when(F.col("side") == 1, F.col("s.games_won")).otherwise(F.col("s.games_lost"))
-    rows = rows.withColumn("won_games", won).withColumn("all_games", F.col("s.games_won") + F.col("s.games_lost"))
-    w = t.before(["player"], 90)
-    rate = F.when(F.sum("all_games").over(w) > 0, rates.laplace(F.sum("won_games").over(w), F.sum("all_games").over(w)))
-    return rows.select("id", "side", r6(rate).alias("game_rate_90"))
+    rows = parsed(spark, sf)
+    won = F.when(F.col("side") == 1, F.col("read.games_won")).otherwise(F.col("read.games_lost")).cast("bigint")
+    rows = rows.select("id", "side", "player", "day", won.alias("won_games"), (F.col("read.games_won") + F.col("read.games_lost")).cast("bigint").alias("all_games"))
+    won, played = t.sliding_sum(F.col("won_games"), ["player"], 90), t.sliding_sum(F.col("all_games"), ["player"], 90)
+    return rows.select("id", "side", won.alias("won"), played.alias("played")).select("id", "side", r6(F.when(F.col("played") > 0, rates.laplace(F.col("won"), F.col("played")))).alias("game_rate_90"))
 
 
 GW = "CASE WHEN id % 11 <> 0 AND id % 13 <> 0 THEN CASE WHEN id % 3 = 0 THEN 16 ELSE 13 END END"
@@ -112,11 +115,10 @@ W25 = f"WITH {GSIDES}, g AS (SELECT id, side, player, day, CASE WHEN side = 1 TH
 
 
 def w26(spark, sf):
-    s = scores.summary(F.col("score"), F.lit(None).cast("int"))
-    rows = both(spark, sf).withColumn("s", s)
-    mine = F.when(F.col("side") == 1, F.col("s.tiebreaks_won")).otherwise(F.col("s.tiebreaks") - F.col("s.tiebreaks_won"))
+    rows = parsed(spark, sf)
+    mine = F.when(F.col("side") == 1, F.col("read.tiebreaks_won")).otherwise(F.col("read.tiebreaks") - F.col("read.tiebreaks_won"))
     w = Window.partitionBy("player").orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.sum("s.tiebreaks").over(w)
+    n = F.sum("read.tiebreaks").over(w)
     return rows.withColumn("mine", mine).select("id", "side", r6(F.when(n > 0, rates.laplace(F.sum("mine").over(w), n))).alias("tiebreak_rate"))
 
 
@@ -129,7 +131,88 @@ def w27(spark, sf):
     return one.join(two, "id").select("id", r6(F.col("m1")).alias("p1_mean"), r6(F.col("m2")).alias("p2_mean"), r6(F.col("m1") - F.col("m2")).alias("diff"))
 
 
-W27 = f"WITH {GSIDES}, m AS (SELECT id, side, avg(quantity) OVER {ROWS10} AS m FROM gsides) SELECT a.id, round(a.m + 1e-10, 6) AS p1_mean, round(b.m + 1e-10, 6) AS p2_mean, round(a.m - b.m + 1e-10, 6) AS diff FROM m a JOIN m b ON a.id = b.id AND a.side = 1 AND b.side = 2"
+W27 = f"WITH {GSIDES}, m AS (SELECT id, side, avg(quantity) OVER {ROWS10} AS m FROM gsides), p AS (SELECT id, max(CASE WHEN side = 1 THEN m END) AS a, max(CASE WHEN side = 2 THEN m END) AS b FROM m GROUP BY id) SELECT id, round(a + 1e-10, 6) AS p1_mean, round(b + 1e-10, 6) AS p2_mean, round(a - b + 1e-10, 6) AS diff FROM p"
+
+
+#: Statistics of the analogue matches: (name, expression over id); some are missing, some have no serve.
+STAT = {
+    "w_serve_points": "CASE WHEN id % 31 = 0 THEN NULL WHEN id % 29 = 0 THEN 0 ELSE 50 + id % 37 END", "l_serve_points": "CASE WHEN id % 23 = 0 THEN NULL ELSE 45 + id % 41 END", "w_first_in": "30 + id % 13", "l_first_in": "CASE WHEN id % 19 = 0 THEN NULL ELSE 28 + id % 11 END", "w_first_won": "20 + id % 9", "l_first_won": "18 + id % 7",
+    "w_second_won": "8 + id % 6", "l_second_won": "7 + id % 5", "w_aces": "id % 12", "l_aces": "id % 8", "w_double_faults": "id % 5", "l_double_faults": "id % 4", "w_bp_saved": "id % 3", "l_bp_saved": "id % 4", "w_bp_faced": "id % 3 + id % 2", "l_bp_faced": "id % 4 + id % 3",
+    "minutes": "CASE WHEN id % 17 = 0 THEN NULL ELSE 60 + id % 91 END", "best_of": "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN 5 ELSE 3 END",
+    "score": "CASE WHEN id % 11 = 0 THEN '6-3 RET' WHEN id % 13 = 0 THEN 'W/O' WHEN id % 10 = 1 THEN '6-4 4-6 6-6 7-6(3) 3-6 6-2' WHEN id % 6 = 2 THEN '7-6(5) 4-6 6-3' WHEN id % 6 = 3 THEN '3-6 6-7(4)' ELSE '6-4 7-6(2)' END",
+}
+
+
+def measured_matches(spark, sf):
+    """Two-sided results of many customers and suppliers, with scores and statistics."""
+    m = matches(spark, sf, wide=True)
+    return m.select("id", "day", "p1", "p2", "won", *[F.expr(e).alias(k) for k, e in STAT.items()])
+
+
+MEASURED = f"{MATCHES.replace('o.o_custkey % 20 AS p1, 20 + l.l_suppkey % 20 AS p2', 'o.o_custkey AS p1, 1000000000 + l.l_suppkey AS p2')}, mm AS (SELECT id, day, p1, p2, won, {', '.join(f'{e} AS {k}' for k, e in STAT.items())} FROM matches WHERE won IS NOT NULL)"
+_TOK = r"regexp_extract_all(score, '\b[0-9]{1,2}-[0-9]{1,2}(\([0-9]+\))?')"
+_REC = f"""rec AS (SELECT *, list_filter(list_transform({_TOK}, lambda x: {{'w': CAST(regexp_extract(x, '^([0-9]+)-([0-9]+)', 1) AS INTEGER), 'l': CAST(regexp_extract(x, '^([0-9]+)-([0-9]+)', 2) AS INTEGER), 't': x LIKE '%(%'}}), lambda y: y.w <> y.l) AS x, NOT regexp_matches(score, 'RET|W/O|WO|DEF|ABD|ABN') AS whole FROM mm),
+cnt AS (SELECT *, len(list_filter(x, lambda y: y.w > y.l)) AS ws, len(list_filter(x, lambda y: y.l > y.w)) AS ls, coalesce(list_sum(list_transform(x, lambda y: y.w)), 0) AS wg, coalesce(list_sum(list_transform(x, lambda y: y.l)), 0) AS lg, len(list_filter(x, lambda y: y.t AND y.w > y.l)) AS wt, len(list_filter(x, lambda y: y.t AND y.l > y.w)) AS lt FROM rec),
+val AS (SELECT *, whole AND ws > ls AS valid, (coalesce(best_of, CASE WHEN ws >= 3 THEN 5 ELSE 3 END) // 2) + 1 AS need FROM cnt)"""
+
+
+def _side_sql(number: int) -> str:
+    me, them = ("p1", "p2") if number == 1 else ("p2", "p1")
+    won = f"won = {2 - number}"
+    o = lambda n: f"CASE WHEN {won} THEN w_{n} ELSE l_{n} END"
+    t_ = lambda n: f"CASE WHEN {won} THEN l_{n} ELSE w_{n} END"
+    v = lambda a, b: f"CASE WHEN valid THEN CASE WHEN {won} THEN {a} ELSE {b} END END"
+    cols = [f"{o(c)} AS {c}" for c in perf.STATS] + [f"{t_(c)} AS opp_{c}" for c in ("serve_points", "first_won", "second_won", "bp_saved", "bp_faced")]
+    return f"SELECT id, day, {number} AS side, {me} AS player, minutes, valid, {v('ws', 'ls')} AS sw, {v('ls', 'ws')} AS sl, {v('wg', 'lg')} AS gw, {v('lg', 'wg')} AS gl, {v('wt', 'lt')} AS tw, {v('lt', 'wt')} AS tl, {won} AND valid AND ls = 0 AS sts, valid AND ws = need AND ls = need - 1 AS decides, {', '.join(cols)}, {won} AS iwon FROM val"
+
+
+def _ratio_sql(num: str, den: str) -> str:
+    ok = f"measured AND {num} IS NOT NULL AND {den} > 0"
+    return f"sum(CASE WHEN {ok} THEN {num} END) OVER l / sum(CASE WHEN {ok} THEN {den} END) OVER l"
+
+
+_SIDES = f"{MEASURED}, {_REC}, sd AS ({_side_sql(1)} UNION ALL {_side_sql(2)}), sx AS (SELECT *, coalesce(serve_points > 0 AND opp_serve_points > 0, false) AS measured, first_won + second_won AS points_won, opp_serve_points AS return_points, opp_serve_points - opp_first_won - opp_second_won AS return_won, CASE WHEN serve_points IS NOT NULL AND first_in IS NOT NULL THEN greatest(serve_points - first_in, 0) END AS second_points, opp_bp_faced - opp_bp_saved AS bp_converted, opp_bp_faced AS bp_chances FROM sd)"
+_LAP = lambda w, n: f"CASE WHEN {n} > 0 THEN ({w} + 1.5::DOUBLE) / ({n} + 3.0::DOUBLE) END"
+_S = lambda e, w: f"coalesce(sum({e}) OVER {w}, 0)"
+_MEASURES = {
+    "score_matches": _S("CAST(valid AS INTEGER)", "l"), "stat_matches": _S("CAST(measured AS INTEGER)", "l"), "set_rate": _LAP(_S("sw", "l"), f"({_S('sw', 'l')} + {_S('sl', 'l')})"), "game_rate": _LAP(_S("gw", "l"), f"({_S('gw', 'l')} + {_S('gl', 'l')})"),
+    "straight_rate": _LAP(_S("CAST(sts AS INTEGER)", "l"), _S("CAST(valid AS INTEGER)", "l")), "deciding_rate": _LAP(_S("CAST(decides AND iwon AS INTEGER)", "c"), _S("CAST(decides AS INTEGER)", "c")), "tiebreak_rate": _LAP(_S("tw", "c"), f"({_S('tw', 'c')} + {_S('tl', 'c')})"),
+    **{m: _ratio_sql(*nd) for m, nd in perf.RATIOS.items()}, "avg_minutes": "avg(minutes) OVER l", "avg_serve_points": "avg(CASE WHEN measured THEN serve_points END) OVER l",
+}
+
+
+def _features_sql(key: str, source: str) -> str:
+    pick = ", ".join(f"max(CASE WHEN side = {s} THEN {m} END) AS p{s}_{m}" for s in (1, 2) for m in perf.METRICS)
+    return f"pv AS (SELECT {key}, {pick} FROM {source} GROUP BY {key})"
+
+
+def _shown(key: str) -> str:
+    return f"SELECT {key}, " + ", ".join([f"round(p{s}_{m} + 1e-10, 6)::DOUBLE AS p{s}_{m}" for s in (1, 2) for m in perf.METRICS] + [f"round(p1_{m} - p2_{m} + 1e-10, 6)::DOUBLE AS {m}_diff" for m in perf.METRICS]) + " FROM pv"
+
+
+def rounded(df, key):
+    return df.select(key, *[r6(F.col(c)).cast("double").alias(c) for c in df.columns if c != key])
+
+
+def w27f(spark, sf):
+    return rounded(perf.match_features(measured_matches(spark, sf)), "id")
+
+
+_L80 = "list_filter(list({'day': day, 'w': gw, 'l': gl}) OVER (PARTITION BY player ORDER BY day, id ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING), lambda y: y.day >= day - 90 AND y.day < day AND y.w IS NOT NULL)"
+W27F = f"WITH {_SIDES}, q AS (SELECT id, side, {', '.join(f'{e} AS {m}' for m, e in _MEASURES.items())}, {_L80} AS h FROM sx WINDOW l AS (PARTITION BY player ORDER BY day, id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), c AS (PARTITION BY player ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, coalesce(list_sum(list_transform(h, lambda y: y.w)), 0) AS g1, coalesce(list_sum(list_transform(h, lambda y: y.w + y.l)), 0) AS g2 FROM q), f AS (SELECT *, {_LAP('g1', 'g2')} AS game_rate_90 FROM g), {_features_sql('id', 'f')} {_shown('id')}"
+
+
+def w28(spark, sf):
+    m = measured_matches(spark, sf)
+    asked = m.where("id % 37 = 5").select(F.col("id").alias("request"), (F.col("day") + F.col("id") % 40).alias("day"), "p1", "p2")
+    return rounded(perf.features_as_of(asked, m), "request")
+
+
+W28 = f"""WITH {_SIDES}, st AS (SELECT id AS mid, day, player, {', '.join(f'{e} AS {m}' for m, e in _MEASURES.items())}, list({{'day': day, 'w': gw, 'l': gl}}) OVER (PARTITION BY player ORDER BY day, id ROWS BETWEEN 79 PRECEDING AND CURRENT ROW) AS h FROM sx WINDOW l AS (PARTITION BY player ORDER BY day, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), c AS (PARTITION BY player ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ls AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY player, day ORDER BY mid DESC) = 1),
+rq AS (SELECT id AS request, day + id % 40 AS asked, 1 AS side, p1 AS player FROM matches WHERE id % 37 = 5 UNION ALL SELECT id, day + id % 40, 2, p2 FROM matches WHERE id % 37 = 5),
+jn AS (SELECT rq.request, rq.side, rq.asked, ls.* EXCLUDE (player, score_matches, stat_matches), coalesce(ls.score_matches, 0) AS score_matches, coalesce(ls.stat_matches, 0) AS stat_matches FROM rq ASOF LEFT JOIN ls ON rq.player = ls.player AND rq.asked > ls.day),
+g AS (SELECT *, coalesce(list_sum(list_transform(list_filter(h, lambda y: y.day >= asked - 90 AND y.w IS NOT NULL), lambda y: y.w)), 0) AS g1, coalesce(list_sum(list_transform(list_filter(h, lambda y: y.day >= asked - 90 AND y.w IS NOT NULL), lambda y: y.w + y.l)), 0) AS g2 FROM jn), f AS (SELECT *, {_LAP('g1', 'g2')} AS game_rate_90 FROM g), {_features_sql('request', 'f')} {_shown('request')}"""
 
 
 def f03(spark, sf):
@@ -164,4 +247,6 @@ QUERIES = {
     "w25_game_rate_90d": (w25, W25),
     "w26_career_tiebreak": (w26, W26),
     "w27_pair_diffs": (w27, W27),
+    "w27_performance_features": (w27f, W27F),
+    "w28_performance_as_of": (w28, W28),
 }

@@ -109,12 +109,19 @@ SELECT id, s AS last_surface, CASE WHEN s <> surface THEN 1 ELSE 0 END AS change
 
 
 def w13(spark, sf):
+    """Meetings so far, and the result of the last three of them within 60 days: each known row holds the latest three up to its day's end."""
     rows, pair = matches(spark, sf), ["p1", "p2"]
-    w, known = t.before(pair), Window.partitionBy(*pair).orderBy("day")
-    recent = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("won").isNotNull(), F.struct("day", "id", "won"))).over(t.before(pair, 60)))), 1, 3)
-    rows = rows.select("id", F.count("won").over(w).alias("met"), F.coalesce(F.sum("won").over(w), F.lit(0)).cast("bigint").alias("p1_wins"), r6(t.prior_rate(pair)).alias("rate"), recent.alias("r"))
-    mean = F.try_divide(F.aggregate("r", F.lit(0.0), lambda a, x: a + x["won"]), F.size("r"))
-    return rows.select("id", "met", "p1_wins", "rate", F.round(F.coalesce(mean - 0.5, F.lit(0.0)), 6).alias("recent_advantage"))
+    ordered = Window.partitionBy(*pair).orderBy("day", "id")
+    seen = F.when(F.col("won").isNotNull(), F.struct("day", "id", "won"))
+    rows = rows.select("id", "day", "won", *pair, seen.alias("seen"))
+    known = rows.where("won is not null").withColumn("held", F.collect_list("seen").over(ordered.rowsBetween(-2, 0)))
+    known = known.groupBy(*pair, "day").agg(F.max(F.struct("id", "held"))["held"].alias("held")).withColumn("id", F.lit(None).cast("bigint")).withColumn("won", F.lit(None).cast("int"))
+    both = rows.select("id", "day", "won", *pair, F.lit(None).cast(known.schema["held"].dataType).alias("held")).unionByName(known)
+    met, wins = t.sliding_sum(F.col("won").isNotNull().cast("bigint"), pair, None), t.sliding_sum(F.col("won").cast("bigint"), pair, None)
+    both = both.select("id", "day", met.alias("met"), wins.alias("p1_wins"), r6(t.prior_rate(pair)).alias("rate"), F.last("held", ignorenulls=True).over(t.before(pair)).alias("held")).where("id is not null")
+    recent = F.filter("held", lambda x: x["day"] >= F.col("day") - 60)
+    mean = F.try_divide(F.aggregate(recent, F.lit(0.0), lambda a, x: a + x["won"]), F.size(recent))
+    return both.select("id", "met", "p1_wins", "rate", F.round(F.coalesce(mean - 0.5, F.lit(0.0)), 6).alias("recent_advantage"))
 
 
 W13 = f"""WITH {MATCHES}, h AS (SELECT id, count(won) OVER w AS met, coalesce(sum(won) OVER w, 0) AS wins, list_sort(list((day, id, won)) FILTER (WHERE won IS NOT NULL) OVER (PARTITION BY p1, p2 ORDER BY day RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS r
@@ -163,7 +170,9 @@ def w18(spark, sf):
     return one.join(two, "id").select("id", F.round(F.col("m1") - F.col("m2") + 1e-6, 2).alias("momentum"))
 
 
-W18 = f"WITH {MATCHES}, s AS (SELECT id, day, price, p1 AS player, 1 AS side FROM matches UNION ALL SELECT id, day, price, p2, 2 FROM matches), m AS (SELECT id, side, avg(price) OVER {_frame('player', 30)} AS mean FROM s) SELECT a.id, round(a.mean - b.mean + 1e-6, 2) AS momentum FROM m a JOIN m b ON a.id = b.id AND a.side = 1 AND b.side = 2"
+W18 = f"""WITH {MATCHES}, s AS (SELECT id, day, price, p1 AS player, 1 AS side FROM matches UNION ALL SELECT id, day, price, p2, 2 FROM matches), d AS (SELECT player, day, sum(price) AS total, count(*) AS n FROM s GROUP BY player, day),
+m AS (SELECT player, day, sum(total) OVER w / sum(n) OVER w AS mean FROM d WINDOW w AS {_frame('player', 30)})
+SELECT s.id, round(max(CASE WHEN side = 1 THEN mean END) - max(CASE WHEN side = 2 THEN mean END) + 1e-6, 2) AS momentum FROM s JOIN m ON s.player = m.player AND s.day = m.day GROUP BY s.id"""
 
 
 def w19(spark, sf):
@@ -228,6 +237,10 @@ def w31(spark, sf):
     return t.quarantine_shifted(rows, ["player", "total"], "day", "id", within=120).select("id", "player", "day")
 
 
+W31 = f"""WITH RECURSIVE {OBS}, r AS (SELECT *, floor(rank / 100000) AS total, row_number() OVER (PARTITION BY player, floor(rank / 100000) ORDER BY day, id) AS rn FROM obs),
+f AS (SELECT player, total, rn, id, day, day AS last, true AS keep FROM r WHERE rn = 1 UNION ALL SELECT r.player, r.total, r.rn, r.id, r.day, CASE WHEN r.day - f.last > 0 AND r.day - f.last <= 120 THEN f.last ELSE r.day END, NOT (r.day - f.last > 0 AND r.day - f.last <= 120) FROM f JOIN r ON r.player = f.player AND r.total = f.total AND r.rn = f.rn + 1)
+SELECT id, player, day FROM f WHERE keep"""
+
 QUERIES = {
     "w01_match_counts": (w01, W01),
     "w02_surface_counts": (w02, W02),
@@ -247,7 +260,7 @@ QUERIES = {
     "w18_momentum": (w18, W18),
     "w19_future_rows": (w19, W19),
     "w20_feature_vector": (w20, W20),
-    "w31_shift_quarantine": (w31, None),
+    "w31_shift_quarantine": (w31, W31),
     "j05_asof_rank": (j05, J05),
     "j06_rank_change": (j06, J06),
     "j26_asof_inclusive": (j26, J26),

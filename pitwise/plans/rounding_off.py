@@ -101,11 +101,12 @@ J13 = f"WITH {MATCHES}, m AS (SELECT * FROM matches WHERE won IS NULL) SELECT a.
 
 
 def j17(spark, sf):
-    """Best fuzzy match at a ratio of 0.8 or more, among names that share a first letter and a length band."""
-    p = table(spark, sf, "part").select("p_name", F.min("p_partkey").over(Window.partitionBy("p_name")).alias("k")).distinct()
+    """Best fuzzy match at a ratio of 0.8 or more, among names that share three letters in a row (as all such pairs of eight letters or more do) or, if shorter, two."""
+    p = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
     typo = p.select(F.col("k").alias("id"), F.regexp_replace("p_name", "e", "3").alias("wrong"))
-    keyed = typo.withColumn("block", F.substring("wrong", 1, 1)).join(p.select("k", "p_name", F.substring("p_name", 1, 1).alias("block")), "block").where(F.abs(F.length("wrong") - F.length("p_name")) <= 3)
-    best = keyed.withColumn("ratio", ratio("wrong", "p_name")).where("ratio >= 0.8")
+    a, b = joins.grams(typo, "wrong", 3).select("id", "wrong", "gram"), joins.grams(p, "p_name", 3).select("k", "p_name", "gram")
+    pairs = a.join(b, "gram").where(F.abs(F.length("wrong") - F.length("p_name")) <= 3).select("id", "k", "wrong", "p_name").distinct()
+    best = pairs.withColumn("ratio", ratio("wrong", "p_name")).where("ratio >= 0.8")
     return best.groupBy("id").agg(F.max(F.struct("ratio", -F.col("k"))).alias("b")).select("id", (-F.col("b.col2")).alias("k"), r6(F.col("b.ratio")).alias("ratio"))
 
 
@@ -120,10 +121,18 @@ J20 = f"WITH {QUOTES} SELECT uid, CAST(run AS VARCHAR) AS run, min(event_id) AS
 
 
 def j21(spark, sf):
+    """Nations under two spellings: names that are alike share a word or all letters, so those are the join keys."""
     n = table(spark, sf, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("a"), F.concat(F.lit("Re "), F.col("n_name")).alias("x")), n.select(F.col("n_nationkey").alias("b"), F.upper("n_name").alias("y"))
-    near = a.join(b, F.col("a") % 5 == F.col("b") % 5).where(tx.names_alike(F.col("x"), F.col("y")))
-    return near.select("a", "b")
+    a = n.select(F.col("n_nationkey").alias("a"), F.concat(F.lit("Re "), F.col("n_name")).alias("x"))
+    b = n.select(F.col("n_nationkey").alias("b"), F.concat(F.upper("n_name"), F.when(F.col("n_nationkey") % 2 == 0, " re").otherwise("")).alias("y"))
+    keys = lambda c: F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), tx.name_key(F.col(c)))), F.split(tx.normalised(F.col(c)), " "))))
+    near = a.withColumn("key", keys("x")).join(b.withColumn("key", keys("y")), "key").where(tx.names_alike(F.col("x"), F.col("y")))
+    return near.select("a", "b").distinct()
+
+
+_NORM = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+J21 = f"""WITH t AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, string_split({_NORM("'Re ' || a.n_name")}, ' ') AS x, string_split({_NORM("upper(b.n_name) || CASE WHEN b.n_nationkey % 2 = 0 THEN ' re' ELSE '' END")}, ' ') AS y FROM nation a, nation b)
+SELECT a, b FROM t WHERE list_has_all(y, x) OR list_has_all(x, y) OR (x[-1] = y[-1] AND x[1][1] = y[1][1]) OR regexp_replace(array_to_string(x, ''), '[^a-z]', '', 'g') = regexp_replace(array_to_string(y, ''), '[^a-z]', '', 'g')"""
 
 
 def j24(spark, sf):
@@ -240,29 +249,30 @@ D14 = "SELECT o_custkey, need FROM (SELECT o_custkey, count(*) AS need, max(o_or
 
 
 def b07(spark, sf):
-    """Bootstrap of whole months: blocks drawn by hash, their results summed."""
+    """Bootstrap of whole months, as many as there are: blocks drawn by hash, their results summed."""
     l = prediction_log(spark, sf).withColumn("profit", F.when(F.col("y") == 1, F.col("odds1") - 1).otherwise(-1.0))
     blocks = l.groupBy(F.date_format("d", "yyyy-MM").alias("block")).agg(F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("bets"))
-    numbered = blocks.select((F.row_number().over(Window.orderBy("block")) - 1).cast("bigint").alias("number"), "profit", "bets").where("number < 60")
-    return simulate.bootstrap(numbered, "number", 60, 100, 23).groupBy("sim").agg(F.round(F.sum("profit"), 4).alias("profit"), F.sum("bets").alias("bets"))
+    # one row a month: calendar time bounds them
+    numbered = blocks.select((F.row_number().over(Window.orderBy("block")) - 1).cast("bigint").alias("number"), "profit", "bets")
+    return simulate.bootstrap(numbered, "number", numbered.count(), 100, 23).groupBy("sim").agg(F.round(F.sum("profit"), 4).alias("profit"), F.sum("bets").alias("bets"))
 
 
-B07 = f"""WITH {LOG}, b AS (SELECT strftime(d, '%Y-%m') AS block, sum(CASE WHEN y = 1 THEN odds1 - 1 ELSE -1.0 END) AS profit, count(*) AS bets FROM log GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY block) - 1 AS number, profit, bets FROM b),
-d AS (SELECT range // 60 AS sim, CAST('0x' || substr(md5('23:' || (range // 60) || ':' || (range % 60)), 1, 8) AS BIGINT) % 60 AS n FROM range(6000)) SELECT sim, round(sum(profit), 4) AS profit, CAST(sum(bets) AS BIGINT) AS bets FROM d JOIN n ON n.number = d.n GROUP BY sim"""
+B07 = f"""WITH {LOG}, b AS (SELECT strftime(d, '%Y-%m') AS block, sum(CASE WHEN y = 1 THEN odds1 - 1 ELSE -1.0 END) AS profit, count(*) AS bets FROM log GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY block) - 1 AS number, profit, bets, count(*) OVER () AS size FROM b),
+d AS (SELECT s.range AS sim, CAST('0x' || substr(md5('23:' || s.range || ':' || number), 1, 8) AS BIGINT) % size AS n FROM n, range(100) s) SELECT sim, round(sum(profit), 4) AS profit, CAST(sum(bets) AS BIGINT) AS bets FROM d JOIN n ON n.number = d.n GROUP BY sim"""
 
 
 def b08(spark, sf):
-    """Permutations of the months of a season: the worst running result of each ordering."""
-    l = prediction_log(spark, sf).where("yr = 1999").withColumn("profit", F.when(F.col("y") == 1, F.col("odds1") - 1).otherwise(-1.0))
-    blocks = l.groupBy(F.month("d").alias("m")).agg(F.sum("profit").alias("profit"))
+    """Permutations of the months of every season: the worst and best running result of each ordering."""
+    l = prediction_log(spark, sf).withColumn("profit", F.when(F.col("y") == 1, F.col("odds1") - 1).otherwise(-1.0))
+    blocks = l.groupBy("yr", F.month("d").alias("m")).agg(F.sum("profit").alias("profit"))
     sims = blocks.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(199))))
     key = F.md5(F.concat_ws(":", F.col("sim").cast("string"), F.col("m").cast("string")))
-    w = Window.partitionBy("sim").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return sims.withColumn("total", F.sum("profit").over(w)).groupBy("sim").agg(F.round(F.min("total"), 4).alias("worst"), F.round(F.max("total"), 4).alias("best"))
+    w = Window.partitionBy("yr", "sim").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return sims.withColumn("total", F.sum("profit").over(w)).groupBy("yr", "sim").agg(F.round(F.min("total"), 4).alias("worst"), F.round(F.max("total"), 4).alias("best"))
 
 
-B08 = f"""WITH {LOG}, b AS (SELECT month(d) AS m, sum(CASE WHEN y = 1 THEN odds1 - 1 ELSE -1.0 END) AS profit FROM log WHERE yr = 1999 GROUP BY 1), s AS (SELECT CAST(range AS INTEGER) AS sim, sum(profit) OVER (PARTITION BY range ORDER BY md5(range || ':' || m) ROWS UNBOUNDED PRECEDING) AS total FROM b, range(200))
-SELECT sim, round(min(total), 4) AS worst, round(max(total), 4) AS best FROM s GROUP BY sim"""
+B08 = f"""WITH {LOG}, b AS (SELECT yr, month(d) AS m, sum(CASE WHEN y = 1 THEN odds1 - 1 ELSE -1.0 END) AS profit FROM log GROUP BY 1, 2), s AS (SELECT yr, CAST(range AS INTEGER) AS sim, sum(profit) OVER (PARTITION BY yr, range ORDER BY md5(range || ':' || m) ROWS UNBOUNDED PRECEDING) AS total FROM b, range(200))
+SELECT CAST(yr AS INTEGER) AS yr, sim, round(min(total), 4) AS worst, round(max(total), 4) AS best FROM s GROUP BY yr, sim"""
 
 
 def b11(spark, sf):
@@ -392,7 +402,7 @@ F26 = "SELECT event_id, CASE WHEN event_id % 9 > 0 AND event_id % 11 > 0 THEN va
 
 QUERIES = {
     "p06_pivot_one_hot": (p06, P06), "p11_peak_age": (p11, P11), "p14_draw_size": (p14, P14), "p21_staleness": (p21, P21), "p24_edge_bands": (p24, P24), "p26_feature_columns": (p26, P26), "p30_buckets": (p30, P30), "p32_health": (p32, P32),
-    "j13_nearby_pairs": (j13, J13), "j17_fuzzy_best": (j17, None), "j20_board_binding": (j20, J20), "j21_loose_names": (j21, None), "j24_latest_status": (j24, J24), "j25_opening_join": (j25, J25),
+    "j13_nearby_pairs": (j13, J13), "j17_fuzzy_best": (j17, None), "j20_board_binding": (j20, J20), "j21_loose_names": (j21, J21), "j24_latest_status": (j24, J24), "j25_opening_join": (j25, J25),
     "a17_family_summary": (a17, A17), "a22_favourite": (a22, A22), "a24_any_all": (a24, A24), "a35_pending_buckets": (a35, A35), "a37_distribution": (a37, A37), "m10_manifest": (m10, M10),
     "d02_round_order": (d02, D02), "d09_latest_run": (d09, D09), "d13_lineage": (d13, D13), "d14_priority": (d14, D14),
     "b07_block_bootstrap": (b07, B07), "b08_permutations": (b08, B08), "b11_bust_flags": (b11, B11), "b13_strategies": (b13, B13), "b14_favourites": (b14, B14), "b16_settlement_plan": (b16, B16),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitwise.functions.rates import kelly
 from pitwise.operators import simulate as sim
+from pitwise.operators.prefix import running
 from pitwise.plans.analogues import LOG, QUOTES, prediction_log, quotes
 from pitwise.plans.point_in_time import r6
 from pitwise.session import table
@@ -78,17 +79,24 @@ def b05f(spark, sf):
     return out.select("player", F.round(F.col("equity") + 1e-8, 4).alias("equity"), "bets", "bust")
 
 
+B05F = f"""WITH RECURSIVE {LOG}, r AS (SELECT player, row_number() OVER (PARTITION BY player ORDER BY d, uid) AS rn, least(greatest(0.0, ((odds1-1)*p_nn-(1-p_nn))/(odds1-1)), 0.5::DOUBLE) AS f, odds1 AS o, y FROM log),
+p AS (SELECT player, 0::BIGINT AS rn, 100.0::DOUBLE AS e, 0 AS n, false AS b FROM (SELECT DISTINCT player FROM log) UNION ALL
+  SELECT r.player, r.rn, CASE WHEN NOT p.b AND p.e * f >= 2.0 THEN p.e + CASE WHEN y = 1 THEN p.e * f * (o - 1) ELSE -(p.e * f) END ELSE p.e END, p.n + CAST(NOT p.b AND p.e * f >= 2.0 AS INTEGER), p.b OR CASE WHEN NOT p.b AND p.e * f >= 2.0 THEN p.e + CASE WHEN y = 1 THEN p.e * f * (o - 1) ELSE -(p.e * f) END ELSE p.e END <= 20.0 FROM p JOIN r ON r.player = p.player AND r.rn = p.rn + 1)
+SELECT player, round(e + 1e-8, 4) AS equity, n AS bets, b AS bust FROM p QUALIFY row_number() OVER (PARTITION BY player ORDER BY rn DESC) = 1"""
+
+
 def b06(spark, sf):
-    size = 300
-    l = prediction_log(spark, sf).where(F.col("uid") < 600)
-    rows = l.select((F.row_number().over(Window.orderBy("uid")) - 1).cast("bigint").alias("number"), F.when(F.col("y") == 1, F.col("odds1") - 1).otherwise(-1.0).alias("profit")).where(F.col("number") < size)
-    b = sim.bootstrap(rows, "number", size, 200, 11)
-    return b.groupBy("sim").agg(F.round(F.sum("profit"), 4).alias("profit"), F.count(F.lit(1)).alias("n"))
+    """Bootstrap of all bets: each sample draws as many as there are."""
+    l = prediction_log(spark, sf)
+    size = l.count()
+    numbered = running(l.withColumn("one", F.lit(1)), "uid", [], "number", "one").withColumn("number", (F.col("number") - 1).cast("bigint"))
+    b = sim.bootstrap(numbered.select("number", F.when(F.col("y") == 1, F.col("odds1") - 1).otherwise(-1.0).alias("profit")), "number", size, 50, 11)
+    return b.groupBy("sim").agg(F.round(F.sum("profit") + 1e-7, 3).alias("profit"), F.count(F.lit(1)).alias("n"))
 
 
-B06 = f"""WITH {LOG}, r AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS number, CASE WHEN y = 1 THEN odds1 - 1 ELSE -1.0 END AS profit FROM log WHERE uid < 600),
-d AS (SELECT range // 300 AS sim, CAST('0x' || substr(md5('11:' || (range // 300) || ':' || (range % 300)), 1, 8) AS BIGINT) % 300 AS n FROM range(60000))
-SELECT sim, round(sum(profit), 4) AS profit, count(*) AS n FROM d JOIN r ON r.number = d.n WHERE number < 300 GROUP BY sim"""
+B06 = f"""WITH {LOG}, r AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS number, CASE WHEN y = 1 THEN odds1 - 1 ELSE -1.0 END AS profit FROM log), c AS (SELECT count(*) AS size FROM log),
+p AS (SELECT s.range AS sim, r.number AS place, size FROM r, c, range(50) s), d AS (SELECT sim, CAST('0x' || substr(md5('11:' || sim || ':' || place), 1, 8) AS BIGINT) % size AS n FROM p)
+SELECT sim, round(sum(profit) + 1e-7, 3) AS profit, count(*) AS n FROM d JOIN r ON r.number = d.n GROUP BY sim"""
 
 
 def b09(spark, sf):
@@ -163,6 +171,6 @@ W30 = f"""WITH {LOG}, e AS (SELECT player, d, uid, 100 + sum(CASE WHEN y = 1 THE
 SELECT player, round(max((peak - equity) / peak) + 1e-10, 6) AS max_drawdown, round(max(peak), 4) AS peak FROM p GROUP BY player"""
 
 QUERIES = {
-    "b01_flat_roi": (b01, B01), "b01_kelly_path": (b01k, B01K), "b02_exchange_roi": (b02, B02), "b03_block_stakes": (b03, B03), "b04_prop_alloc": (b04, B04), "b05_compound_path": (b05, B05), "b05_path_with_floor": (b05f, None),
+    "b01_flat_roi": (b01, B01), "b01_kelly_path": (b01k, B01K), "b02_exchange_roi": (b02, B02), "b03_block_stakes": (b03, B03), "b04_prop_alloc": (b04, B04), "b05_compound_path": (b05, B05), "b05_path_with_floor": (b05f, B05F),
     "b06_bootstrap": (b06, B06), "b09_kelly_grid": (b09, B09), "b10_bust_timing": (b10, B10), "b12_edge_floor": (b12, B12), "b15_settlement_balance": (b15, B15), "f29_risk_metrics": (f29, F29), "f30_calendar_resample": (f30, F30), "w30_drawdown": (w30, W30),
 }

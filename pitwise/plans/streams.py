@@ -49,6 +49,14 @@ def r05(spark, sf):
 R05 = "SELECT p.event_id AS prediction, min(r.event_id) AS result FROM events p LEFT JOIN events r ON r.event_type = 'purchase' AND p.user_id = r.user_id AND r.ts >= p.ts AND r.ts <= p.ts + INTERVAL 6 HOUR WHERE p.event_type = 'click' GROUP BY 1"
 
 
+def r06(spark, sf):
+    return drain(st.reposts(stream(spark, sf), "ts", "3 days", ["user_id", "event_type"], "value", "event_id"), "complete")
+
+
+R06 = """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 DAY THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS opened_by, arg_min(value, (ts, event_id)) AS opening, arg_max(value, (ts, event_id)) AS latest, count(*) AS posts FROM s GROUP BY user_id, event_type, s"""
+
+
 def r07(spark, sf):
     return drain(st.windowed(stream(spark, sf), "ts", "1 day", None, ["user_id"]), "complete")
 
@@ -89,6 +97,6 @@ def r10(spark, sf):
 R10 = "SELECT event_type, date_sub('minute', max(ts), TIMESTAMP '2024-01-31 00:00:00') AS age_minutes, CASE WHEN date_sub('minute', max(ts), TIMESTAMP '2024-01-31 00:00:00') > 90 THEN 'stale' ELSE 'healthy' END AS state, count(*) AS n FROM events GROUP BY 1"
 
 QUERIES = {
-    "r02_stream_dedup": (r02, R02), "r03_stream_open_close": (r03, R03), "r04_opening": (r04, R04), "r05_late_settlement": (r05, R05), "r07_daily_flush": (r07, R07),
+    "r02_stream_dedup": (r02, R02), "r03_stream_open_close": (r03, R03), "r04_opening": (r04, R04), "r05_late_settlement": (r05, R05), "r06_reposts": (r06, R06), "r07_daily_flush": (r07, R07),
     "r_tumbling": (tumbling, TUMBLING), "r_sliding": (sliding, SLIDING), "r_session": (session, SESSION), "r10_freshness": (r10, R10),
 }

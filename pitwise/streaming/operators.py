@@ -35,6 +35,13 @@ def sessions(stream: DataFrame, at: str, gap: str, keys: list[str]) -> DataFrame
     return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), *keys, "n")
 
 
+def reposts(stream: DataFrame, at: str, gap: str, keys: list[str], value: str, tie: str) -> DataFrame:
+    """Observations of one thing that follow each other within ``gap``: the opening value stays, the latest is refreshed. State is two structs for each open run."""
+    row = F.struct(F.col(at), F.col(tie), F.col(value))
+    g = stream.groupBy(F.session_window(at, gap).alias("w"), *keys).agg(F.min(row).alias("first"), F.max(row).alias("last"), F.count(F.lit(1)).alias("posts"))
+    return g.select(*keys, F.col(f"first.{tie}").alias("opened_by"), F.col(f"first.{value}").alias("opening"), F.col(f"last.{value}").alias("latest"), "posts")
+
+
 def settled(predictions: DataFrame, results: DataFrame, key: str, within: str) -> DataFrame:
     """Predictions with results that come up to ``within`` later: a stream-stream join whose state the watermarks bound."""
     p, r = predictions.alias("p"), results.alias("r")

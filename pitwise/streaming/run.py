@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder for state and results, under the shared folder the session names; a temporary one only where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="pitwise-stream-")
+    """A new folder for state and results, under the shared folder the session names; a temporary one only where one process does all the work."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
+        base = "file://" + tempfile.mkdtemp(prefix="pitwise-stream-")
     return f"{base.rstrip('/')}/stream/{uuid.uuid4().hex}"
 
 
