@@ -80,7 +80,7 @@ def calibration_line(df: DataFrame, keys: list[str], y: str = "y", p: str = "p",
     from pitwise.functions.rates import logit
 
     rows = df.select(*keys, F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("x")).cache()
-    fit = rows.select(*keys).distinct().withColumn("a", F.lit(0.0)).withColumn("b", F.lit(1.0))
+    fit = rows.select(*keys).distinct().withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))  # from zero the steps do not overshoot
     for _ in range(rounds):
         q = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         at = rows.join(fit, keys).withColumn("q", q).withColumn("w", F.col("q") * (1 - F.col("q")))
