@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +21,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only where none is configured (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(shared_dir, "fallback", None) or "file://" + tempfile.mkdtemp(prefix="pitwise-")
-        shared_dir.fallback = base
-    return base
+    """The folder that every executor sees, as the session names it; a temporary one only where one process does all the work."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
+    shared_dir.local = getattr(shared_dir, "local", None) or "file://" + tempfile.mkdtemp(prefix="pitwise-")
+    return shared_dir.local
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,6 +55,32 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame) -> None:
+    """Let Spark delete the shuffle and checkpoint files of plans that nothing holds any more; it does so as the driver collects garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: int, least: int, done: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Hand rows that are sorted by the first ``keys`` columns to ``done``: at least ``least`` at once, and a key's rows together."""
+    held: list[list[np.ndarray]] = []
+    waiting = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        waiting += batch.num_rows
+        if waiting < least or all(held[0][k][0] == held[-1][k][-1] for k in range(keys)):
+            continue
+        rows = [np.concatenate(x) for x in zip(*held)]
+        last = np.logical_and.reduce([rows[k] == rows[k][-1] for k in range(keys)])
+        keep = int(np.flatnonzero(~last)[-1]) + 1
+        held, waiting = [[c[keep:] for c in rows]], len(rows[0]) - keep
+        yield from done([c[:keep] for c in rows])
+    if held:
+        yield from done([np.concatenate(x) for x in zip(*held)])
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` split points of a numeric column; only that column is read."""
     if buckets < 2:

@@ -1,18 +1,24 @@
 """Quality rules with thresholds that follow the corpus, in DataFrame operations alone.
 
 Fixed base rules reject a document that is very short or mostly repeats. Beyond
-them each metric has a threshold for every language and source, read from
-mergeable quantile sketches: values fall into logarithmic buckets (relative
-error under ``ERROR``) that are counted, and counts of sources add up to those
-of a language and of all. A document is rejected where a metric lies beyond the
-group's upper quartile by several quartile ranges, and beyond a guard under
-which no value is odd; groups of few documents use their language's sketch, or
-that of all.
+them each metric, a share of two counts, has a threshold for every language and
+source, read from mergeable quantile sketches of the documents that pass the
+base rules: values fall into logarithmic buckets (relative error under
+``2 * ERROR``) that are counted, and counts of sources add up to those of a
+language and of all. On the scale of square roots, on which counts spread alike
+at every height, the threshold is the metric's upper quantile plus ``RANGES``
+times its distance from the median. No fixed value of a metric decides: a group
+whose documents all have symbols keeps them. Small groups lean on their
+language, and small languages on all, in proportion to ``PRIOR`` documents.
+
+A document is rejected where a metric lies beyond the threshold by more than
+counting noise: the count less ``NOISE`` times the root of the count and one.
 
 Null and empty texts have no words and fail the base rules; null languages and
-sources are groups of their own; null and repeated doc_ids keep their rows; an
-empty table gives none. Texts are read whole. Only ``doc_id``, ``text``,
-``lang`` and ``source`` are read.
+sources are groups of their own; a group with no document that passes has its
+language's thresholds, or those of all; null and repeated doc_ids keep their
+rows; an empty table gives none. Texts are read whole. Only ``doc_id``,
+``text``, ``lang`` and ``source`` are read.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import cut, stored
+from pitwise.llm.common import stored
 
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
-ERROR, LEAST_GROUP, RANGES = 0.01, 200, 4.0
-#: A metric's value up to which no document is rejected for it.
-GUARDS = {"symbol_share": 0.08, "dup_line_share": 0.5, "repeat_share": 0.3, "word_length": 12.0}
+ERROR, RANGES, NOISE, PRIOR = 0.01, 4.0, 3.0, 200
+#: Each metric's counts, and the quantile that stands for its usual upper values.
+METRICS = {"symbol_share": ("n_symbols", "word_chars", 0.75), "dup_line_share": ("n_dup_lines", "n_lines", 0.75), "repeat_share": ("n_repeat_words", "n_words", 0.9), "word_length": ("word_chars", "n_words", 0.75)}
+_ZERO = -(1 << 30)
 _BASE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -56,50 +63,65 @@ def measured(docs: DataFrame, keep: bool = False) -> DataFrame:
     rows = rows.withColumn("n_repeat_words", again.cast("bigint"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc", "lang", "source", *_BASE[:-1], failed.alias("base_failed"), share("n_symbols", "word_chars").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"), share("word_chars", "n_words").alias("word_length"))
+    every = F.struct(*_BASE[:-1], "n_lines", failed.alias("base_failed"), *[share(a, b).alias(m) for m, (a, b, _) in METRICS.items()])
+    # through explode, so that no filter on a metric is pushed below and works it out once more
+    return rows.select("doc", "lang", "source", F.explode(F.array(every)).alias("m")).select("doc", "lang", "source", "m.*")
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """lang, source, metric, bucket, n: mergeable by adding ``n``."""
+    """lang, source, metric, bucket, n: mergeable by adding ``n``. Documents that fail the base rules do not count."""
     step = math.log1p(2 * ERROR)
-    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(F.col(m) > 1e-6, F.ceil(F.ln(m) / step)).otherwise(-(1 << 30)).cast("int").alias("bucket")) for m in GUARDS])
-    return rows.select("lang", "source", F.explode(metrics).alias("m")).groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(F.col(m) > 1e-6, F.ceil(F.ln(m) / step)).otherwise(_ZERO).cast("int").alias("bucket")) for m in METRICS])
+    return rows.where("not base_failed").select("lang", "source", F.explode(metrics).alias("m")).groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group's ``total`` and ``fence`` (on the scale of roots) of every metric."""
     group = Window.partitionBy(*keys, "metric")
     merged = counts.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     merged = merged.withColumn("total", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy("bucket")))
-    value = F.when(F.col("bucket") > -(1 << 30), F.exp(F.col("bucket") * math.log1p(2 * ERROR))).otherwise(0.0)
-    return merged.groupBy(*keys, "metric").agg(F.first("total").alias("total"), F.min(F.when(F.col("upto") * 4 >= F.col("total"), value)).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, value)).alias("q3"))
+    value = F.when(F.col("bucket") > _ZERO, F.exp(F.col("bucket") * math.log1p(2 * ERROR))).otherwise(0.0)
+    level = F.create_map(*[F.lit(x) for m, (_, _, q) in METRICS.items() for x in (m, q)])[F.col("metric")]
+    merged = merged.groupBy(*keys, "metric").agg(F.first("total").alias("total"), F.min(F.when(F.col("upto") >= 0.5 * F.col("total"), value)).alias("middle"), F.min(F.when(F.col("upto") >= level * F.col("total"), value)).alias("upper"))
+    return merged.select(*keys, "metric", "total", (F.sqrt("upper") + RANGES * (F.sqrt("upper") - F.sqrt("middle"))).alias("fence"))
 
 
-def thresholds(counts: DataFrame) -> DataFrame:
-    """lang, source and a threshold column for each metric, from the finest group that is large enough."""
-    own, lang, every = (_quartiles(counts, k) for k in (["lang", "source"], ["lang"], []))
+def thresholds(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """lang, source and a threshold column for each metric, for every row of ``groups``: lang, source."""
+    own, lang, every = fences(counts, ["lang", "source"]), fences(counts, ["lang"]), fences(counts, [])
     name = lambda q, p: q.select(*[F.col(c).alias(f"{p}_{c}") for c in q.columns])
-    lang, every = name(lang, "l"), name(every, "e")
-    rows = own.join(lang, own.lang.eqNullSafe(lang.l_lang) & (own.metric == lang.l_metric)).join(every, own.metric == every.e_metric)
-    pick = lambda q: F.when(F.col("total") >= LEAST_GROUP, F.col(q)).when(F.col("l_total") >= LEAST_GROUP, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
-    fence = pick("q3") + RANGES * (pick("q3") - pick("q1"))
-    cuts = rows.select("lang", "source", "metric", fence.alias("fence"))
-    return cuts.groupBy("lang", "source").agg(*[F.greatest(F.lit(g), F.max(F.when(F.col("metric") == m, F.col("fence")))).alias(f"most_{m}") for m, g in GUARDS.items()])
-
-
-def _verdict(rows: DataFrame) -> DataFrame:
-    limits = thresholds(cut(sketches(rows))).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    own, lang, every = name(own, "o"), name(lang, "l"), name(every, "e")
+    rows = groups.select("lang", "source", F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
+    rows = rows.join(own, rows.lang.eqNullSafe(F.col("o_lang")) & rows.source.eqNullSafe(F.col("o_source")) & (rows.metric == F.col("o_metric")), "left")
+    rows = rows.join(lang, rows.lang.eqNullSafe(F.col("l_lang")) & (rows.metric == F.col("l_metric")), "left").join(every, rows.metric == F.col("e_metric"), "left")
+    lean = lambda p, up: (F.coalesce(F.col(f"{p}_total") * F.col(f"{p}_fence"), F.lit(0.0)) + PRIOR * up) / (F.coalesce(f"{p}_total", F.lit(0)) + PRIOR)
+    fence = lean("o", lean("l", F.col("e_fence")))
+    cuts = rows.select("lang", "source", "metric", (fence * fence).alias("most"))
+    return cuts.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"most_{m}") for m in METRICS])
+
+
+def _verdict(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    limits = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = rows.join(limits, rows.lang.eqNullSafe(limits.t_lang) & rows.source.eqNullSafe(limits.t_source))
     odd = F.lit(False)
-    for m in GUARDS:
-        odd = odd | (F.col(m) > F.col(f"most_{m}"))
+    for m, (a, b, _) in METRICS.items():
+        surely = F.greatest(F.col(a) - NOISE * F.sqrt(F.col(a) + 1), F.lit(0.0))
+        odd = odd | F.coalesce(surely > F.col(f"most_{m}") * F.col(b), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
+def _limits(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Thresholds as a stored table: its size is known, so that Spark joins it by broadcast only while it is small."""
+    return stored(thresholds(groups.select("lang", "source").distinct(), stored(sketches(rows))))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """The base counts and the verdict for every document."""
-    return _verdict(cut(measured(docs).drop("doc"))).select(*_BASE, "kept", *GUARDS)
+    rows = stored(measured(docs).drop("doc"))
+    return _verdict(rows, _limits(rows, rows)).select(*_BASE, "kept", *METRICS)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return _verdict(stored(measured(docs, keep=True))).where("kept").select("doc.*")
+    """The documents that the rules keep, with their own columns. Texts are measured twice, which is less than to write and read them."""
+    limits = _limits(measured(docs), docs)
+    return _verdict(measured(docs, keep=True), limits).where("kept").select("doc.*")
