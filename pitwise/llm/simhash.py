@@ -132,11 +132,13 @@ def unique_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 
     Two documents are linked where the Jaccard similarity of their shingle sets
     is ``similarity`` or more. All such pairs count (:mod:`pitwise.llm.setjoin`),
-    and a shingle counts once however often a text repeats it.
+    and a shingle counts once however often a text repeats it. Nulls and empty
+    texts are alike; of repeated rows one stays; a null doc_id goes last; an
+    empty table gives none; further columns may have any name.
     """
     shingles = partial(shingle_hashes, size=size)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("body"))
-    wide = stored(setjoin.prefixes(texts, shingles, similarity, *setjoin.frequent_hashes(texts, shingles)))
+    wide = stored(setjoin.prefixes(texts, shingles, majority, similarity, *setjoin.frequent_hashes(texts, shingles)))
     prints = cut(wide.select("doc_id", "mark", "id"))
     roots = setjoin.linked(texts, wide, shingles, similarity)
     discard(wide)
