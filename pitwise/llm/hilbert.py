@@ -59,24 +59,43 @@ def _ranked_names(rows: DataFrame, name: str, cells: int) -> DataFrame:
     return names.select(name, F.floor(share).cast("int").alias(f"{name}_cell"))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 6) -> DataFrame:
-    """doc_id, size, text_crc32, place on the curve, shard and gapless slot of every row."""
+def curve_places(rows: DataFrame, bits: int = 6) -> DataFrame:
+    """``rows`` (doc_id, source, lang, size and more, to be kept small) with their place on the curve."""
     cells = 1 << bits
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint"), "source", "lang", (F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).cast("bigint").alias("text_crc32"))
-    rows = cut(rows)
     ids, sizes = range_bounds(rows, "doc_id", cells), range_bounds(rows, "size", cells)
     grid = rows
     for name in ("source", "lang"):
         grid = grid.join(_ranked_names(rows, name, cells), name, "left")
-    grid = grid.select("doc_id", "size", "text_crc32", F.coalesce("source_cell", F.lit(0)).alias("source"), F.coalesce("lang_cell", F.lit(0)).alias("lang"), bucket_of(F.col("size"), sizes).alias("size_cell"), bucket_of(F.col("doc_id"), ids).alias("id_cell"))
+    cell = ("source_cell", "lang_cell", "size_cell", "id_cell")
+    grid = grid.select(*rows.columns, F.coalesce("source_cell", F.lit(0)).alias("source_cell"), F.coalesce("lang_cell", F.lit(0)).alias("lang_cell"), bucket_of(F.col("size"), sizes).alias("size_cell"), bucket_of(F.col("doc_id"), ids).alias("id_cell"))
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["place"] = hilbert_index(part[["source", "lang", "size_cell", "id_cell"]].to_numpy(), bits) if len(part) else np.empty(0, np.int64)
-            yield part[["doc_id", "size", "text_crc32", "place"]]
+            part["place"] = hilbert_index(part[list(cell)].to_numpy(), bits) if len(part) else np.empty(0, np.int64)
+            yield part.drop(columns=list(cell))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return grid.mapInPandas(placed, f"{kinds}, place bigint")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("bigint"), "source", "lang", (F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).cast("bigint").alias("text_crc32"))
 
-    curve = grid.mapInPandas(placed, "doc_id bigint, size bigint, text_crc32 bigint, place bigint")
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, bits: int = 6) -> None:
+    """Write whole documents as ``shards`` files of the curve's runs, for readers that skip files by the ranges of source, lang, size (written along) and doc_id."""
+    places = curve_places(cut(_measured(docs)), bits).distinct().withColumnsRenamed({"doc_id": "_id", "source": "_source", "lang": "_lang", "size": "_size", "text_crc32": "_crc"})
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", (F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).cast("bigint").alias("crc"))
+    same = rows.doc_id.eqNullSafe(F.col("_id")) & rows.source.eqNullSafe(F.col("_source")) & rows.lang.eqNullSafe(F.col("_lang")) & (rows.crc == F.col("_crc")) & (rows["size"] == F.col("_size"))
+    ordered = rows.join(places, same).select("doc", F.col("_size").alias("curve_size"), "place", "doc_id").repartitionByRange(shards, "place", "doc_id").sortWithinPartitions("place", "doc_id")
+    ordered.select("doc.*", "curve_size").write.parquet(path)
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 6) -> DataFrame:
+    """doc_id, size, text_crc32, place on the curve, shard and gapless slot of every row."""
+    curve = curve_places(cut(_measured(docs)), bits).drop("source", "lang")
     order = ("place", "doc_id", "text_crc32", "size")
     runs = cut(curve.repartitionByRange(*order).withColumn("run", F.spark_partition_id()))
     counts = runs.groupBy("run").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pitwise.llm.common import documents
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the components that two differing bits link. Nulls are empty texts, fingerprint zero."""
     from pitwise.llm import simhash
 
     found = simhash.near_duplicates(documents(spark, sf_dir), size=3)
@@ -18,12 +19,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syncmer fingerprints of every text and of its edited form, beside the next document in descending doc_id. Nulls are empty texts and sort last."""
     from pitwise.llm import syncmers
 
     return syncmers.edited_fingerprints(documents(spark, sf_dir))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one forged one, formatted, stored and read back. Null texts and roles are empty."""
     from pitwise.llm import chat
     from pitwise.llm.common import stored
 
@@ -34,42 +37,49 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null texts have no words, a null source is the last source."""
     from pitwise.llm import mixing
 
     return mixing.mix(documents(spark, sf_dir)).drop("mark")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole text, and what they decode to. Null texts give the end id alone."""
     from pitwise.llm import pieces
 
     return pieces.digests(documents(spark, sf_dir))
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, written as block files and read back. Null texts give the end id alone, null ids come first."""
     from pitwise.llm import tokenfile
 
     return tokenfile.read_tokens(tokenfile.write_tokens(documents(spark, sf_dir)))
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that texts share, and copies. Null texts have none."""
     from pitwise.llm import passages
 
     return passages.repeated_passages(documents(spark, sf_dir))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans, and added ones. Null texts have none."""
     from pitwise.llm import pii
 
     return pii.digests(documents(spark, sf_dir))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole text and the verdict of its group's thresholds. Null texts have no words."""
     from pitwise.llm import quality
 
     return quality.judged(documents(spark, sf_dir))
 
 
 def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of one curve, counts at most one apart. Null texts have no bytes."""
     from pitwise.llm import hilbert
 
     placed = hilbert.hilbert_shards(documents(spark, sf_dir), shards=40)

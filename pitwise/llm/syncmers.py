@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import bucket_of, range_bounds, slots
+from pitwise.llm.common import bucket_of, range_bounds, slots, stored
 
 K, S, KEPT = 24, 8, 128
 _BASE = 0x9E3779B97F4A7C15
@@ -99,6 +99,21 @@ def fingerprint_anchors(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, position bigint, hash bigint")
 
 
+def shared_runs(docs: DataFrame, least: int = 3) -> DataFrame:
+    """doc_id, other_id, shift, start, end, anchors: where a document lines up with the first (smallest doc_id) that has its anchors.
+
+    Anchors depend on their own letters alone, so those of a shared passage stand
+    at one shift: positions are matched by hash, and grouped by document pair and
+    shift. Each anchor meets its first holder's first place only, so the rows are
+    no more than the anchors. Documents without a doc_id have no part in it.
+    """
+    anchors_ = stored(fingerprint_anchors(docs).where("doc_id is not null"))
+    first = anchors_.groupBy("hash").agg(F.min(F.struct("doc_id", "position")).alias("one")).select("hash", F.col("one.doc_id").alias("other_id"), F.col("one.position").alias("place"))
+    met = anchors_.join(first, "hash").where("doc_id > other_id").withColumn("shift", F.col("position") - F.col("place"))
+    runs = met.groupBy("doc_id", "other_id", "shift").agg(F.min("position").alias("start"), (F.max("position") + K).alias("end"), F.countDistinct("position").alias("anchors"))
+    return runs.where(F.col("anchors") >= least)
+
+
 def _neighbours(docs: DataFrame) -> DataFrame:
     """Documents in runs of descending doc_id, each followed by a copy of the next run's first document (``extra``)."""
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST))
