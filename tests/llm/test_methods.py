@@ -178,10 +178,11 @@ def test_verdicts_by_brute_force(spark):
 
 
 def test_the_same_text_is_judged_by_its_source(spark):
-    plain = [row(i, words(150, i), source="prose") for i in range(400)]
-    tables = [row(1000 + i, marked(150, 1000 + i, 0.25 + i % 40 / 100), source="tables") for i in range(400)]
+    # ten times the documents that a group leans on its language for
+    plain = [row(i, words(150, i), source="prose") for i in range(2000)]
+    tables = [row(10_000 + i, marked(150, 10_000 + i, 0.25 + i % 40 / 100), source="tables") for i in range(2000)]
     same = marked(150, 77, 0.5)
-    docs = spark.createDataFrame([*plain, *tables, row(5000, same, source="prose"), row(5001, same, source="tables")], SCHEMA)
+    docs = spark.createDataFrame([*plain, *tables, row(50_000, same, source="prose"), row(50_001, same, source="tables")], SCHEMA)
     got = {x["doc_id"]: x["kept"] for x in rows_of(quality.judged(docs))}
-    assert not got[5000] and got[5001]
-    assert all(got[i] for i in range(400)) and all(got[1000 + i] for i in range(400))
+    assert not got[50_000] and got[50_001]
+    assert all(got[i] for i in range(2000)) and all(got[10_000 + i] for i in range(2000))
