@@ -124,8 +124,9 @@ def _taken(docs: DataFrame, block: int, shard: int, most: int, seed: int, per_bu
     placed = cut(_placed(sized.drop("source"), seed, per_bucket).withColumn("row", F.monotonically_increasing_id()))
     touched = placed.where("size > 0").select("row", "source_key", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block_no"))
     words = F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("at"), F.col("block_no") * block)
-    taken = touched.withColumn("words", words).join(times, ["source_key", "block_no"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    rows = placed.join(taken, "row", "left")
+    # exploded from a few rows, so Spark takes the blocks for small: they grow with the corpus and must not be broadcast
+    taken = touched.withColumn("words", words).join(times.hint("merge"), ["source_key", "block_no"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows = placed.join(taken.hint("merge"), "row", "left")
     return rows.select("doc_id", "mark", "source_key", "size", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "bucket", "spread", "row"), wanted
 
 
@@ -151,6 +152,6 @@ def mixed_documents(docs: DataFrame, seed: int = 7, per_bucket: int = 256) -> Da
     taken = rows.groupBy("doc_id", "mark", "source_key").agg(F.sum("passes").cast("int").alias("passes"), F.count("*").alias("rows")).where("passes > 0")
     taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("mark").alias("taken_mark"), F.when(~F.col("source_key.missing"), F.col("source_key.name")).alias("taken_source"), "passes", "rows")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("key_id"), F.xxhash64("text").alias("key_mark"), F.col("source").alias("key_source"))
-    rows = rows.join(taken, rows.key_id.eqNullSafe(taken.taken_id) & (rows.key_mark == taken.taken_mark) & rows.key_source.eqNullSafe(taken.taken_source))
+    rows = rows.join(taken.hint("merge"), rows.key_id.eqNullSafe(taken.taken_id) & (rows.key_mark == taken.taken_mark) & rows.key_source.eqNullSafe(taken.taken_source))
     again = rows.where("rows > 1").dropDuplicates(["key_id", "key_mark", "key_source"])
     return rows.where("rows = 1").unionByName(again).select("doc", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("doc.*")
