@@ -86,6 +86,27 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "place")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over all rebuilt conversations. Null roles and texts are empty, rows without conv_id are left out."""
+    from pitwise.llm import trie
+
+    return trie.prefix_trie(trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every whole text without the bytes of strings of 400 bytes that start anywhere else too. Null texts are empty."""
+    from pitwise.llm import suffixes
+
+    return suffixes.without_repeats(documents(spark, sf_dir))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every usable vector after two rounds from the 64 smallest ids, with errors. Null labels are one label."""
+    from pitwise.llm import codes
+
+    return codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -98,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality": op9_quality,
         "op10_hilbert": op10_hilbert,
+        "op11_trie": op11_trie,
+        "op12_repeats": op12_repeats,
+        "op13_codes": op13_codes,
     }
 
 
