@@ -12,8 +12,8 @@ when strings reach ``least`` bytes has a common prefix of ``least`` or more.
 
 Segments of one key that are more than ``BUCKET`` bytes (a phrase that many texts hold,
 in other surroundings each) are cut again, by the smallest grams under three further
-hashes, and what is still too large by single windows; then equal ones are counted as
-above. So no task holds more than two buckets, and nothing is left out.
+hashes, then under twelve, and what is still too large by single windows; then equal
+ones are counted as above. So no task holds more than two buckets, and nothing is left out.
 
 Equal segments are told by their key and a 64-bit digest, both 64 bits of hash; texts
 by doc_id and a 64-bit digest.
@@ -51,7 +51,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BYTES = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIXERS = [np.uint64(int(x) | 1) for x in np.random.default_rng(2).integers(1 << 62, 1 << 63, 8)]
+_MIXERS = [np.uint64(int(x) | 1) for x in np.random.default_rng(2).integers(1 << 62, 1 << 63, 17)]
 
 
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
@@ -255,33 +255,53 @@ def _expanded(pieces: DataFrame, least: int) -> DataFrame:
 
 
 def repeated(bodies: DataFrame, least: int = LEAST, level: int = 0) -> DataFrame:
-    """k1, k2, start, end: runs of bytes of every body (k1, k2, body) that repeat; runs may overlap."""
+    """k1, k2, ranges: the runs of bytes of every body (k1, k2, body) that repeat, in order and apart; bodies without any have no row."""
     left = [all_segments := stored(_cut(bodies, least, SEEDS[level] if level < len(SEEDS) else None))]
     keys = all_segments.groupBy("h").agg(F.count("*").alias("times"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("again").alias("again"))
     keys = keys.where("times > 1 or again").select("h", (F.col("again") | (F.col("low") != F.col("high"))).alias("mixed"))
     left.append(met := stored(all_segments.drop("again").join(keys, "h")))
-    runs = met.where("not mixed").select("k1", "k2", "start", (F.col("start") + F.col("n")).alias("end"))
+    runs = met.where("not mixed").select("k1", "k2", F.array(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges"))
 
     distinct = met.where("mixed").groupBy("h", "d").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
     sizes = distinct.groupBy("h").agg((F.sum(F.col("one.n").cast("bigint")) > BUCKET).alias("hot"))
     wanted = distinct.join(sizes, "h").select("h", "d", "times", "hot", "one.k1", "one.k2", "one.start", "one.n")
     left.append(pieces := stored(_pieces(bodies, wanted)))
-    found = stored(_expanded(pieces.where("not hot"), least))
-    left.append(found)
-    found = found.select("h", "d", F.explode("ranges").alias("x")).select("h", "d", "x.start", "x.end")
+    left.append(found := stored(_expanded(pieces.where("not hot"), least)))
     hot = pieces.where("hot").dropDuplicates(["h", "d"])
     if not pieces.where("hot").limit(1).isEmpty():
         below = repeated(hot.select(F.col("h").alias("k1"), F.col("d").alias("k2"), "body"), least, level + 1)
-        whole = hot.where("times > 1").select("h", "d", F.lit(0).cast("bigint").alias("start"), F.length("body").cast("bigint").alias("end"))
-        found = found.unionByName(below.select(F.col("k1").alias("h"), F.col("k2").alias("d"), "start", "end")).unionByName(whole)
-    inner = found.withColumnsRenamed({"start": "s", "end": "e"})
-    parts = met.where("mixed").join(inner, ["h", "d"]).select("k1", "k2", (F.col("start") + F.col("s")).alias("start"), (F.col("start") + F.col("e")).alias("end"))
-    runs = stored(runs.unionByName(parts).distinct())
+        left.append(below)
+        whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.length("body").cast("bigint").alias("end")))
+        found = found.unionByName(below.select(F.col("k1").alias("h"), F.col("k2").alias("d"), "ranges").join(hot.where("times > 1").select("h", "d"), ["h", "d"], "left_anti"))
+        found = found.unionByName(hot.where("times > 1").select("h", "d", whole.alias("ranges")))
+    moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), (r["end"] + F.col("start")).alias("end")))
+    parts = met.where("mixed").join(found.where("size(ranges) > 0"), ["h", "d"]).select("k1", "k2", moved.alias("ranges"))
+    runs = stored(_merged(runs.unionByName(parts)))
     for table in left:
         discard(table)
     return runs
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """One row for each body: its runs in order, those that meet or overlap as one. A body's own length bounds them."""
+    grouped = runs.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_set("ranges"))).alias("ranges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ranges in batch.column(2):
+                spans: list[dict] = []
+                for r in ranges.as_py():
+                    if spans and r["start"] <= spans[-1]["end"]:
+                        spans[-1]["end"] = max(spans[-1]["end"], r["end"])
+                    else:
+                        spans.append(r)
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _RANGES)], ["k1", "k2", "ranges"])
+
+    return grouped.mapInArrow(run, "k1 bigint, k2 bigint, ranges array<struct<start: bigint, end: bigint>>")
+
+
 def without_repeats(docs: DataFrame, least: int = LEAST, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``kept`` its remaining bytes too.
 
@@ -293,9 +313,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, kept: bool = False) ->
     bodies = docs.select(F.col("doc_id").cast("bigint").alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("body"))
     runs = repeated(bodies.where(F.octet_length("body") >= least), least)
     free(docs)
-    # a text's own runs: its length bounds them
-    runs = runs.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
-    rows = bodies.join(runs, F.col("k1").eqNullSafe(F.col("w1")) & (F.col("k2") == F.col("w2")), "left").select("k1", "body", "ranges")
+    rows = bodies.join(runs.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "ranges"), F.col("k1").eqNullSafe(F.col("w1")) & (F.col("k2") == F.col("w2")), "left").select("k1", "body", "ranges")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -303,13 +321,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST, kept: bool = False) ->
         for batch in batches:
             out = []
             for doc_id, body, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                body, spans = body.as_py(), []
-                for r in ranges.as_py() or []:
-                    if spans and r["start"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r["end"])
-                    else:
-                        spans.append([r["start"], r["end"]])
-                edges = [0, *(x for s in spans for x in s), len(body)]
+                body, spans = body.as_py(), ranges.as_py() or []
+                edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(body)]
                 rest = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((doc_id, len(body), len(body) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest if kept else None))
             if out:
