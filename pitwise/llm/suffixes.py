@@ -35,8 +35,8 @@ from pitwise.llm.common import discard, free, stored
 LEAST, GRAM = 400, 64
 #: Bytes of distinct segments that one transform holds, beside those of one further key.
 BUCKET = 2_000_000
-#: Hashes that the windows of a text, and those of a large bucket, are keyed by; then single windows.
-SEEDS: list[list[int]] = [[0], [1, 2, 3]]
+#: Hashes that the windows of a text are keyed by, those of a large key, and those of what is still large; then single windows.
+SEEDS: list[list[int]] = [[0], [1, 2, 3], list(range(4, 16))]
 #: Window places that are keyed at once, and windows of a segment.
 CHUNK, LONGEST = 1 << 17, 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
