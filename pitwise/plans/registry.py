@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import evaluation, learning, matching, performance, point_in_time, projections, records, rounding_off, simulation, store_flows, streams
+from pitwise.plans import evaluation, learning, matching, performance, point_in_time, projections, records, rounding_off, simulation, store_flows, streams, vectors
 
-_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation, records, streams, learning, rounding_off, store_flows)
+_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation, records, streams, learning, rounding_off, store_flows, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
