@@ -127,3 +127,21 @@ def binomial_tail(hits: Column, n: Column, share: Column) -> Column:
 
     later = F.when(hits < n, F.sequence(hits, n - 1)).otherwise(F.array().cast("array<bigint>"))
     return F.aggregate(later, start, step, lambda a: F.least(a["total"], F.lit(1.0)))
+
+
+def bundle(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
+    """n, accuracy, log loss, Brier score, AUC and calibration error of each key from counts by distinct score.
+
+    Rows are read and shuffled once, as partial counts by score; every measure is a sum over scores. The AUC adds, for
+    each score, the losses below it and half of those at it.
+    """
+    scores = df.groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("bigint")).alias("_w"))
+    below = F.coalesce(F.sum(F.col("_n") - F.col("_w")).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = scores.withColumns({"_lost": F.col("_n") - F.col("_w"), "_below": below, "_bin": F.least(F.floor(F.col("_p") * bins), F.lit(bins - 1))})
+    q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("_p")))
+    part = rows.groupBy(*keys, "_bin").agg(
+        F.sum("_n").alias("n"), F.sum("_w").alias("w"), F.sum(F.when(F.col("_p") >= 0.5, F.col("_w")).otherwise(F.col("_lost"))).alias("right"), F.sum(F.col("_w") * F.ln(q) + F.col("_lost") * F.ln(1 - q)).alias("likelihood"),
+        F.sum(F.col("_w") * F.pow(1 - F.col("_p"), 2) + F.col("_lost") * F.pow("_p", 2)).alias("squares"), F.sum(F.col("_w") * (F.col("_below") + F.col("_lost") / 2)).alias("ahead"), F.sum(F.col("_n") * F.col("_p")).alias("expected"))
+    g = part.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "w", "right", "likelihood", "squares", "ahead")], F.sum(F.abs(F.col("w") - F.col("expected"))).alias("gap"))
+    n = F.col("n")
+    return g.select(*keys, "n", (F.col("right") / n).alias("accuracy"), (-F.col("likelihood") / n).alias("log_loss"), (F.col("squares") / n).alias("brier"), F.try_divide(F.col("ahead"), F.col("w") * (n - F.col("w"))).alias("auc"), (F.col("gap") / n).alias("ece"))

@@ -66,7 +66,7 @@ def test_shortfalls_and_the_end_of_a_path(spark):
     assert [r[1] for r in paths(spark, rows, block="day", k=1.0, start=10.0, least=4.0)] == [0, 0, 0, 10.0]
     scaled = paths(spark, rows, block="day", k=1.0, start=10.0, least=4.0, shortfall="all-in")
     assert [r[1] for r in scaled] == pytest.approx([10 / 3] * 3 + [0.0]) and scaled[-1][3] == 0.0
-    assert [r[1] for r in paths(spark, rows, k=1.0, start=10.0, least=4.0)] == [5.0, 4.0, 0.0, 0.0]
+    assert [r[1] for r in paths(spark, rows, k=1.0, start=10.0, least=4.0)] == [4.0, 4.0, 0.0, 0.0]
 
 
 def test_null_keys_and_no_rows(spark):
