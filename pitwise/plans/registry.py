@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitwise.plans import evaluation, learning, matching, paths, performance, point_in_time, projections, records, research, rounding_off, simulation, store_flows, streams, vectors
+from pitwise.plans import evaluation, learning, matching, paths, performance, point_in_time, projections, records, research, rounding_off, simulation, store_flows, stores, streams, vectors
 
-_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation, records, streams, learning, rounding_off, store_flows, vectors, paths, research)
+_PLANS = (point_in_time, performance, evaluation, matching, projections, simulation, records, streams, learning, rounding_off, store_flows, vectors, paths, research, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
