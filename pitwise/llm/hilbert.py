@@ -83,26 +83,54 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "source", "lang", (F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).cast("bigint").alias("text_crc32"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, bits: int = 6) -> None:
-    """Write whole documents as ``shards`` files of the curve's runs, for readers that skip files by the ranges of source, lang, size (written along) and doc_id."""
-    places = curve_places(cut(_measured(docs)), bits).distinct().withColumnsRenamed({"doc_id": "_id", "source": "_source", "lang": "_lang", "size": "_size", "text_crc32": "_crc"})
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", (F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).cast("bigint").alias("crc"))
-    same = rows.doc_id.eqNullSafe(F.col("_id")) & rows.source.eqNullSafe(F.col("_source")) & rows.lang.eqNullSafe(F.col("_lang")) & (rows.crc == F.col("_crc")) & (rows["size"] == F.col("_size"))
-    ordered = rows.join(places, same).select("doc", F.col("_size").alias("curve_size"), "place", "doc_id").repartitionByRange(shards, "place", "doc_id").sortWithinPartitions("place", "doc_id")
-    ordered.select("doc.*", "curve_size").write.parquet(path)
+#: What tells rows apart.
+_KNOWN = ("doc_id", "source", "lang", "size", "text_crc32")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 6) -> DataFrame:
-    """doc_id, size, text_crc32, place on the curve, shard and gapless slot of every row."""
-    curve = curve_places(cut(_measured(docs)), bits).drop("source", "lang")
-    order = ("place", "doc_id", "text_crc32", "size")
+def _ranked(docs: DataFrame, shards: int, bits: int) -> DataFrame:
+    """What a row is known by, its place on the curve, rank, shard, and the number of all rows."""
+    curve = curve_places(cut(_measured(docs)), bits)
+    order = ("place", "doc_id", "text_crc32", "size", "source", "lang")
     runs = cut(curve.repartitionByRange(*order).withColumn("run", F.spark_partition_id()))
     counts = runs.groupBy("run").agg(F.count("*").alias("n"))
     # one row for each partition of the range
     before = counts.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     numbered = runs.withColumn("at", F.row_number().over(Window.partitionBy("run").orderBy(*order)) - 1).join(F.broadcast(before), "run")
-    rank = numbered.select("doc_id", "size", "text_crc32", "place", (F.col("before") + F.col("at")).alias("rank"), "total")
-    shard = F.expr(f"cast(rank * {shards} div total as int)")
+    rank = numbered.select(*_KNOWN, "place", (F.col("before") + F.col("at")).alias("rank"), "total")
+    return rank.withColumn("shard", F.expr(f"cast(rank * {shards} div total as int)"))
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 6) -> DataFrame:
+    """doc_id, size, text_crc32, place on the curve, rank, shard and gapless slot of every row."""
     first = F.expr("(shard * total + {0} - 1) div {0}".format(shards))
-    return rank.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).drop("total")
+    return _ranked(docs, shards, bits).withColumn("slot", F.col("rank") - first).select("doc_id", "size", "text_crc32", "place", "rank", "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, bits: int = 6) -> tuple[str, str]:
+    """Write whole documents by the shards that :func:`hilbert_shards` gives them, a folder and one file each; the names of the columns for shard and size.
+
+    Readers skip files by the ranges of source, lang, size and doc_id. The two columns get underscores in front where
+    documents have a column of their name. Null texts have no bytes, null dimensions are the lowest value. Rows that are
+    equal in all that they are known by share a run of ranks, which is dealt among them where it spans shards. An empty
+    table writes no shard.
+    """
+    def unused(name: str) -> str:
+        return name if name.lower() not in {c.lower() for c in docs.columns} else unused(f"_{name}")
+
+    shard, size = unused("shard"), unused("curve_size")
+    ranked = cut(_ranked(docs, shards, bits))
+    groups = ranked.groupBy(*_KNOWN).agg(F.min("rank").alias("rank"), F.min("shard").alias("low"), F.max("shard").alias("high"), F.first("total").alias("total"), F.first("place").alias("place"))
+    groups = groups.withColumnsRenamed({c: f"_{c}" for c in _KNOWN})
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", (F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).cast("bigint").alias("text_crc32"))
+    same = (rows.text_crc32 == F.col("_text_crc32")) & (rows["size"] == F.col("_size"))
+    for c in ("doc_id", "source", "lang"):
+        same = same & rows[c].eqNullSafe(F.col(f"_{c}"))
+    met = rows.join(groups, same)
+    whole = met.where("low = high").select("doc", "size", "place", "doc_id", F.col("low").alias("shard"))
+    # only equal rows on both sides of a cut are numbered
+    at = F.row_number().over(Window.partitionBy(*_KNOWN).orderBy("place")) - 1
+    split = met.where("low < high").withColumn("at", at).select("doc", "size", "place", "doc_id", F.expr(f"cast((rank + at) * {shards} div total as int)").alias("shard"))
+    ordered = whole.unionByName(split).repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id")
+    ordered.select("doc.*", F.col("size").alias(size), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)
+    return shard, size

@@ -12,7 +12,7 @@ from pitwise.llm import hilbert, pieces, syncmers
 
 def files_met(path, keep):
     """Files whose ranges leave room for a row with these ranges of columns."""
-    met, files = 0, sorted(glob.glob(f"{path}/*.parquet"))
+    met, files = 0, sorted(glob.glob(f"{path}/**/*.parquet", recursive=True))
     for f in files:
         meta = pq.ParquetFile(f).metadata
         ranges = {}
@@ -39,9 +39,24 @@ def test_readers_skip_files_in_every_dimension(spark, tmp_path):
         assert files_met(f"{tmp_path}/plain", keep)[0] == 32
 
 
-def test_written_shards_keep_odd_rows(spark, odd, tmp_path):
+def test_written_shards_keep_odd_rows(spark, odd, none, tmp_path):
     hilbert.write_shards(odd, f"{tmp_path}/odd", shards=4)
     assert spark.read.parquet(f"{tmp_path}/odd").count() == len(ODD)
+    hilbert.write_shards(none, f"{tmp_path}/none", shards=4)
+    assert not glob.glob(f"{tmp_path}/none/**/*.parquet", recursive=True)
+
+
+def test_written_shards_are_those_of_the_query_and_names_do_not_clash(spark, tmp_path):
+    """60,000 rows: a third of them equal in every column, and columns of the names that are added."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "repeat(string(id), int(id % 7)) as text", "string(id % 5) as source", "string(id % 3) as lang", "1 as shard", "'c' as curve_size")
+    docs = docs.unionByName(spark.range(20_000).selectExpr("7L as doc_id", "'same' as text", "'1' as source", "cast(null as string) as lang", "1 as shard", "'c' as curve_size"))
+    shard, size = hilbert.write_shards(docs, f"{tmp_path}/curve", shards=40)
+    assert (shard, size) == ("_shard", "_curve_size")
+    written = spark.read.parquet(f"{tmp_path}/curve")
+    assert [r["count"] for r in written.groupBy(shard).count().orderBy(shard).collect()] == [1500] * 40
+    placed = hilbert.hilbert_shards(docs, shards=40)
+    want = {(r.doc_id, r.shard): r.n for r in placed.groupBy("doc_id", "shard").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert {(r.doc_id, r[shard]): r.n for r in written.groupBy("doc_id", shard).agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()} == want
 
 
 def test_anchors_line_up_a_shared_passage(spark):
