@@ -396,6 +396,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(_joined(F.col("pii_base")), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"))
 
 
+def _reaches(spans: Column) -> Column:
+    """``out``: each span with the furthest end before it (what ends no later than that is inside another), and the furthest of all as ``at``: by blocks of the root of their number, as in :func:`_starts`."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<from:bigint,start:bigint,kind:string>>").alias("out"))
+    width = F.ceil(F.sqrt(F.size(spans))).cast("int")
+    begins = F.when(F.size(spans) > 0, F.sequence(F.lit(1), F.size(spans), F.greatest(width, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    one = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))).alias("out"))
+    blocks = F.transform(begins, lambda b: F.aggregate(F.slice(spans, b, width), zero, one))
+    moved = lambda x, at: F.struct(F.greatest(x["from"], at).alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))
+    whole = lambda a, b: F.struct(F.greatest(a["at"], b["at"]).alias("at"), F.concat(a["out"], F.transform(b["out"], lambda x: moved(x, a["at"]))).alias("out"))
+    return F.aggregate(blocks, zero, whole)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets, and ``n_chars`` set anew."""
     rows = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text")))
@@ -403,11 +415,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def pieces(spans: Column) -> Column:
-        # a span counts from the furthest end before it; what ends no later than that is inside another
-        reach = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<from:bigint,start:bigint,kind:string>>").alias("out"))
-        step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))).alias("out"))
         show = lambda p: F.concat(F.substring(text, (p["from"] + 1).cast("int"), F.greatest(p["start"] - p["from"], F.lit(0)).cast("int")), F.when(p["start"] >= p["from"], F.concat(F.lit("<"), p["kind"], F.lit(">"))).otherwise(""))
-        return F.aggregate(spans, reach, step, lambda a: F.concat(F.array_join(F.transform(a["out"], show), ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+        return bound(_reaches(spans), lambda r: F.concat(F.array_join(F.transform(r["out"], show), ""), F.substring(text, (r["at"] + 1).cast("int"), F.length(text))))
 
     rows = rows.withColumn("clean", F.when(F.size("pii_spans") > 0, bound(ordered, pieces)).otherwise(text))
     new = {"text": F.col("clean"), "n_chars": F.when(F.size("pii_spans") > 0, F.length("clean").cast("bigint")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}

@@ -186,3 +186,27 @@ def test_the_same_text_is_judged_by_its_source(spark):
     got = {x["doc_id"]: x["kept"] for x in rows_of(quality.judged(docs))}
     assert not got[50_000] and got[50_001]
     assert all(got[i] for i in range(2000)) and all(got[10_000 + i] for i in range(2000))
+
+
+def test_fingerprint_gates_lose_next_to_nothing_at_the_limit():
+    """The exact binomial tail beyond each gate, and what it still rules out of texts that have nothing in common."""
+    import math
+
+    from pitwise.llm import setjoin
+
+    share = math.acos(2 * 0.8 / 1.8) / math.pi
+    for lanes, unlike in ((setjoin.FIRST, 1e-2), (setjoin.LANES, 1e-12)):
+        bits, most = 64 * lanes, setjoin.bits_apart(0.8, lanes)
+        tail = lambda p, lo, hi: sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(lo, hi))
+        assert tail(share, most + 1, bits + 1) <= 1.01 * setjoin.LOST < tail(share, most, bits + 1)
+        assert tail(0.5, 0, most + 1) < unlike
+
+
+def test_redaction_of_many_spans(spark):
+    """More spans than a block, some inside others, in order and in linear time."""
+    from pitwise.llm import pii
+
+    text = " ".join(f"w{i} a{i}@b.co +49 170 {i:07d} x" for i in range(700))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    (row,) = pii.redacted(docs).collect()
+    assert row.text == " ".join(f"w{i} <email> <phone> x" for i in range(700)) and row.n_chars == len(row.text)
