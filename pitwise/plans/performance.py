@@ -204,13 +204,13 @@ W27F = f"WITH {_SIDES}, q AS (SELECT id, side, {', '.join(f'{e} AS {m}' for m, e
 
 def w28(spark, sf):
     m = measured_matches(spark, sf)
-    asked = m.where("id % 37 = 5").select(F.col("id").alias("request"), (F.col("day") + F.col("id") % 40).alias("day"), "p1", "p2")
+    asked = m.select(F.col("id").alias("request"), (F.col("day") + F.col("id") % 40).alias("day"), "p1", "p2")
     return rounded(perf.features_as_of(asked, m), "request")
 
 
 W28 = f"""WITH {_SIDES}, st AS (SELECT id AS mid, day, player, {', '.join(f'{e} AS {m}' for m, e in _MEASURES.items())}, list({{'day': day, 'w': gw, 'l': gl}}) OVER (PARTITION BY player ORDER BY day, id ROWS BETWEEN 79 PRECEDING AND CURRENT ROW) AS h FROM sx WINDOW l AS (PARTITION BY player ORDER BY day, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), c AS (PARTITION BY player ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ls AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY player, day ORDER BY mid DESC) = 1),
-rq AS (SELECT id AS request, day + id % 40 AS asked, 1 AS side, p1 AS player FROM matches WHERE id % 37 = 5 UNION ALL SELECT id, day + id % 40, 2, p2 FROM matches WHERE id % 37 = 5),
+rq AS (SELECT id AS request, day + id % 40 AS asked, 1 AS side, p1 AS player FROM matches UNION ALL SELECT id, day + id % 40, 2, p2 FROM matches),
 jn AS (SELECT rq.request, rq.side, rq.asked, ls.* EXCLUDE (player, score_matches, stat_matches), coalesce(ls.score_matches, 0) AS score_matches, coalesce(ls.stat_matches, 0) AS stat_matches FROM rq ASOF LEFT JOIN ls ON rq.player = ls.player AND rq.asked > ls.day),
 g AS (SELECT *, coalesce(list_sum(list_transform(list_filter(h, lambda y: y.day >= asked - 90 AND y.w IS NOT NULL), lambda y: y.w)), 0) AS g1, coalesce(list_sum(list_transform(list_filter(h, lambda y: y.day >= asked - 90 AND y.w IS NOT NULL), lambda y: y.w + y.l)), 0) AS g2 FROM jn), f AS (SELECT *, {_LAP('g1', 'g2')} AS game_rate_90 FROM g), {_features_sql('request', 'f')} {_shown('request')}"""
 
