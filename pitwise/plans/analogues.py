@@ -17,6 +17,9 @@ MATCHES = f"""matches AS (SELECT l.l_orderkey * 100 + row_number() OVER (PARTITI
   l.l_linestatus AS level, l.l_linenumber AS n, l.l_orderkey AS orderkey, l.l_quantity AS quantity, l.l_extendedprice AS price, l.l_tax AS tax, l.l_discount AS discount
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
+#: Every customer and supplier is a player of its own, as histories want it; the 40 groups above are for joins that need pairs to meet often.
+WIDE = MATCHES.replace("o.o_custkey % 20 AS p1, 20 + l.l_suppkey % 20 AS p2", "o.o_custkey AS p1, l.l_suppkey + 1000000000 AS p2")
+
 QUOTES = """quotes AS (SELECT event_id, user_id AS uid, ts, CAST(ts AS DATE) AS run, value / 500 AS prob, event_type AS source,
   TIMESTAMP '2024-01-20 00:00:00' + to_hours(CAST(user_id AS INTEGER)) AS start_at FROM events)"""
 

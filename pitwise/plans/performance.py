@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from pitwise.functions import rates, scores
 from pitwise.operators import performance as perf
 from pitwise.operators import temporal as t
-from pitwise.plans.analogues import LOG, MATCHES, matches, prediction_log
+from pitwise.plans.analogues import LOG, WIDE, matches, prediction_log
 from pitwise.plans.point_in_time import BOTH, r6
 
-GAMES = MATCHES + """, games AS (SELECT *, CASE WHEN id % 11 = 0 THEN '6-3 RET' WHEN id % 13 = 0 THEN 'W/O'
+GAMES = WIDE + """, games AS (SELECT *, CASE WHEN id % 11 = 0 THEN '6-3 RET' WHEN id % 13 = 0 THEN 'W/O'
   ELSE '6-' || (n % 5) || ' ' || CASE WHEN id % 3 = 0 THEN '4-6 6-2' ELSE '7-6(' || n || ')' END END AS score FROM matches)"""
 GSIDES = GAMES + """, gsides AS (SELECT *, p1 AS player, p2 AS opponent, 1 AS side FROM games UNION ALL BY NAME SELECT * REPLACE (1 - won AS won), p2 AS player, p1 AS opponent, 2 AS side FROM games)"""
 
 
 def games(spark, sf):
-    m = matches(spark, sf)
+    m = matches(spark, sf, wide=True)
     tail = F.when(F.col("id") % 3 == 0, "4-6 6-2").otherwise(F.concat(F.lit("7-6("), F.col("n").cast("string"), F.lit(")")))
     score = F.when(F.col("id") % 11 == 0, "6-3 RET").when(F.col("id") % 13 == 0, "W/O").otherwise(F.concat(F.lit("6-"), (F.col("n") % 5).cast("string"), F.lit(" "), tail))
     return m.withColumn("score", score)
@@ -149,7 +149,7 @@ def measured_matches(spark, sf):
     return m.select("id", "day", "p1", "p2", "won", *[F.expr(e).alias(k) for k, e in STAT.items()])
 
 
-MEASURED = f"{MATCHES.replace('o.o_custkey % 20 AS p1, 20 + l.l_suppkey % 20 AS p2', 'o.o_custkey AS p1, 1000000000 + l.l_suppkey AS p2')}, mm AS (SELECT id, day, p1, p2, won, {', '.join(f'{e} AS {k}' for k, e in STAT.items())} FROM matches WHERE won IS NOT NULL)"
+MEASURED = f"{WIDE}, mm AS (SELECT id, day, p1, p2, won, {', '.join(f'{e} AS {k}' for k, e in STAT.items())} FROM matches WHERE won IS NOT NULL)"
 _TOK = r"regexp_extract_all(score, '\b[0-9]{1,2}-[0-9]{1,2}(\([0-9]+\))?')"
 _REC = f"""rec AS (SELECT *, list_filter(list_transform({_TOK}, lambda x: {{'w': CAST(regexp_extract(x, '^([0-9]+)-([0-9]+)', 1) AS INTEGER), 'l': CAST(regexp_extract(x, '^([0-9]+)-([0-9]+)', 2) AS INTEGER), 't': x LIKE '%(%'}}), lambda y: y.w <> y.l) AS x, NOT regexp_matches(score, 'RET|W/O|WO|DEF|ABD|ABN') AS whole FROM mm),
 cnt AS (SELECT *, len(list_filter(x, lambda y: y.w > y.l)) AS ws, len(list_filter(x, lambda y: y.l > y.w)) AS ls, coalesce(list_sum(list_transform(x, lambda y: y.w)), 0) AS wg, coalesce(list_sum(list_transform(x, lambda y: y.l)), 0) AS lg, len(list_filter(x, lambda y: y.t AND y.w > y.l)) AS wt, len(list_filter(x, lambda y: y.t AND y.l > y.w)) AS lt FROM rec),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitwise.functions.dates import season_flags
 from pitwise.functions.rates import laplace
 from pitwise.operators import temporal as t
-from pitwise.plans.analogues import MATCHES, OBS, matches, observations
+from pitwise.plans.analogues import OBS, WIDE, matches, observations
 from pitwise.session import table
 
 P, S = ["player"], ["player", "surface"]
@@ -110,7 +110,7 @@ SELECT id, s AS last_surface, CASE WHEN s <> surface THEN 1 ELSE 0 END AS change
 
 def w13(spark, sf):
     """Meetings so far, and the result of the last three of them within 60 days: each known row holds the latest three up to its day's end."""
-    rows, pair = matches(spark, sf), ["p1", "p2"]
+    rows, pair = matches(spark, sf, wide=True), ["p1", "p2"]
     ordered = Window.partitionBy(*pair).orderBy("day", "id")
     seen = F.when(F.col("won").isNotNull(), F.struct("day", "id", "won"))
     rows = rows.select("id", "day", "won", *pair, seen.alias("seen"))
@@ -124,53 +124,53 @@ def w13(spark, sf):
     return both.select("id", "met", "p1_wins", "rate", F.round(F.coalesce(mean - 0.5, F.lit(0.0)), 6).alias("recent_advantage"))
 
 
-W13 = f"""WITH {MATCHES}, h AS (SELECT id, count(won) OVER w AS met, coalesce(sum(won) OVER w, 0) AS wins, list_sort(list((day, id, won)) FILTER (WHERE won IS NOT NULL) OVER (PARTITION BY p1, p2 ORDER BY day RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS r
+W13 = f"""WITH {WIDE}, h AS (SELECT id, count(won) OVER w AS met, coalesce(sum(won) OVER w, 0) AS wins, list_sort(list((day, id, won)) FILTER (WHERE won IS NOT NULL) OVER (PARTITION BY p1, p2 ORDER BY day RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS r
   FROM matches WINDOW w AS {_frame('p1, p2', 'UNBOUNDED')})
 SELECT id, met, CAST(wins AS BIGINT) AS p1_wins, round((wins + 1.5::DOUBLE) / (met + 3.0::DOUBLE) + 1e-10, 6) AS rate, round(coalesce(list_avg(list_transform(r[-3:], lambda x: x[3])) - 0.5, 0.0), 6) AS recent_advantage FROM h"""
 
 
 def w14(spark, sf):
-    rows = t.sides(matches(spark, sf), "p1", "p2", "won")
+    rows = t.sides(matches(spark, sf, wide=True), "p1", "p2", "won")
     return rows.select("id", "side", t.prior_count(["player", "level"]).alias("level_n"), r6(t.prior_rate(["player", "level"])).alias("level_rate"))
 
 
 BOTH = "sides AS (SELECT id, day, level, n, p1 AS player, p2 AS opponent, 1 AS side, won FROM matches UNION ALL SELECT id, day, level, n, p2, p1, 2, 1 - won FROM matches)"
-W14 = f"WITH {MATCHES}, {BOTH} SELECT id, side, count(*) OVER w AS level_n, round((coalesce(sum(won) OVER w, 0) + 1.5::DOUBLE) / (count(won) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS level_rate FROM sides WINDOW w AS {_frame('player, level', 'UNBOUNDED')}"
+W14 = f"WITH {WIDE}, {BOTH} SELECT id, side, count(*) OVER w AS level_n, round((coalesce(sum(won) OVER w, 0) + 1.5::DOUBLE) / (count(won) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS level_rate FROM sides WINDOW w AS {_frame('player, level', 'UNBOUNDED')}"
 
 
 def w15(spark, sf):
-    rows = t.sides(matches(spark, sf), "p1", "p2", "won")
+    rows = t.sides(matches(spark, sf, wide=True), "p1", "p2", "won")
     return rows.select("id", "side", r6(t.prior_rate(P, only=F.col("n").isin(1, 2))).alias("big_rate"))
 
 
-W15 = f"WITH {MATCHES}, {BOTH} SELECT id, side, round((coalesce(sum(CASE WHEN n IN (1, 2) THEN won END) OVER w, 0) + 1.5::DOUBLE) / (count(CASE WHEN n IN (1, 2) THEN won END) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS big_rate FROM sides WINDOW w AS {_frame('player', 'UNBOUNDED')}"
+W15 = f"WITH {WIDE}, {BOTH} SELECT id, side, round((coalesce(sum(CASE WHEN n IN (1, 2) THEN won END) OVER w, 0) + 1.5::DOUBLE) / (count(CASE WHEN n IN (1, 2) THEN won END) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS big_rate FROM sides WINDOW w AS {_frame('player', 'UNBOUNDED')}"
 
 
 def w16(spark, sf):
-    rows = t.sides(matches(spark, sf), "p1", "p2", "won")
+    rows = t.sides(matches(spark, sf, wide=True), "p1", "p2", "won")
     return rows.select("id", "side", r6(t.prior_rate(["player", "n"])).alias("round_rate"), r6(t.prior_rate(P, only=F.col("n") == 7)).alias("final_rate"))
 
 
-W16 = f"WITH {MATCHES}, {BOTH} SELECT id, side, round((coalesce(sum(won) OVER r, 0) + 1.5::DOUBLE) / (count(won) OVER r + 3.0::DOUBLE) + 1e-10, 6) AS round_rate, round((coalesce(sum(CASE WHEN n = 7 THEN won END) OVER w, 0) + 1.5::DOUBLE) / (count(CASE WHEN n = 7 THEN won END) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS final_rate FROM sides WINDOW w AS {_frame('player', 'UNBOUNDED')}, r AS {_frame('player, n', 'UNBOUNDED')}"
+W16 = f"WITH {WIDE}, {BOTH} SELECT id, side, round((coalesce(sum(won) OVER r, 0) + 1.5::DOUBLE) / (count(won) OVER r + 3.0::DOUBLE) + 1e-10, 6) AS round_rate, round((coalesce(sum(CASE WHEN n = 7 THEN won END) OVER w, 0) + 1.5::DOUBLE) / (count(CASE WHEN n = 7 THEN won END) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS final_rate FROM sides WINDOW w AS {_frame('player', 'UNBOUNDED')}, r AS {_frame('player, n', 'UNBOUNDED')}"
 
 
 def w17(spark, sf):
-    rows = t.sides(matches(spark, sf), "p1", "p2", "won")
+    rows = t.sides(matches(spark, sf, wide=True), "p1", "p2", "won")
     return rows.select("id", "side", r6(t.prior_rate(P, only=F.col("opponent") % 7 == 0)).alias("vs_group_rate"))
 
 
-W17 = f"WITH {MATCHES}, {BOTH} SELECT id, side, round((coalesce(sum(CASE WHEN opponent % 7 = 0 THEN won END) OVER w, 0) + 1.5::DOUBLE) / (count(CASE WHEN opponent % 7 = 0 THEN won END) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS vs_group_rate FROM sides WINDOW w AS {_frame('player', 'UNBOUNDED')}"
+W17 = f"WITH {WIDE}, {BOTH} SELECT id, side, round((coalesce(sum(CASE WHEN opponent % 7 = 0 THEN won END) OVER w, 0) + 1.5::DOUBLE) / (count(CASE WHEN opponent % 7 = 0 THEN won END) OVER w + 3.0::DOUBLE) + 1e-10, 6) AS vs_group_rate FROM sides WINDOW w AS {_frame('player', 'UNBOUNDED')}"
 
 
 def w18(spark, sf):
     """Momentum: the sides' changes against each other."""
-    rows = t.sides(matches(spark, sf).withColumn("rank", F.col("price")), "p1", "p2", "won")
+    rows = t.sides(matches(spark, sf, wide=True).withColumn("rank", F.col("price")), "p1", "p2", "won")
     seen = rows.select("id", "side", F.avg("rank").over(t.before(P, 30)).alias("mean"))
     one, two = (seen.where(F.col("side") == s).select("id", F.col("mean").alias(f"m{s}")) for s in (1, 2))
     return one.join(two, "id").select("id", F.round(F.col("m1") - F.col("m2") + 1e-6, 2).alias("momentum"))
 
 
-W18 = f"""WITH {MATCHES}, s AS (SELECT id, day, price, p1 AS player, 1 AS side FROM matches UNION ALL SELECT id, day, price, p2, 2 FROM matches), d AS (SELECT player, day, sum(price) AS total, count(*) AS n FROM s GROUP BY player, day),
+W18 = f"""WITH {WIDE}, s AS (SELECT id, day, price, p1 AS player, 1 AS side FROM matches UNION ALL SELECT id, day, price, p2, 2 FROM matches), d AS (SELECT player, day, sum(price) AS total, count(*) AS n FROM s GROUP BY player, day),
 m AS (SELECT player, day, sum(total) OVER w / sum(n) OVER w AS mean FROM d WINDOW w AS {_frame('player', 30)})
 SELECT s.id, round(max(CASE WHEN side = 1 THEN mean END) - max(CASE WHEN side = 2 THEN mean END) + 1e-6, 2) AS momentum FROM s JOIN m ON s.player = m.player AND s.day = m.day GROUP BY s.id"""
 
