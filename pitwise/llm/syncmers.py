@@ -4,7 +4,11 @@ A k-mer of code points is an anchor when the smallest of its inner s-mers (in
 hash order) lies at its first or last place. That depends on the k-mer alone,
 so the same passage gives the same anchors wherever it stands, and positions
 of shared anchors line up. A fingerprint is the smallest anchor hashes of the
-whole text; likeness is the Dice coefficient that two fingerprints estimate.
+whole text, each with its first place. Likeness matches them by position: of
+the shared anchors those count that stand in one order in both texts (as many
+as can), and their share is given as a Dice coefficient. It is exact for texts
+of up to 128 distinct anchors (about 1,100 code points); beyond that it is an
+estimate from 128 of them, whose standard error is at most 0.05.
 
 A null text counts as empty; an empty text has an empty fingerprint, like
 another empty one (1) and unlike all others (0). A text without an anchor,
@@ -16,6 +20,7 @@ all others; rows of one doc_id go by their text; repeated rows are kept. Only
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,23 +70,43 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(1, np.int64), np.array([xxhash.xxh32_intdigest(text.encode())], np.uint32)
 
 
-def sketch(text: str) -> np.ndarray:
-    return np.unique(anchors(text)[1])[:KEPT]
+#: Hashes, rising, and the first place of each.
+Sketch = tuple[np.ndarray, np.ndarray]
 
 
-def shown(kept: np.ndarray) -> str:
-    return kept.astype(">u4").tobytes().hex()
+def sketch(text: str) -> Sketch:
+    at, found = anchors(text)
+    kept, first = np.unique(found, return_index=True)
+    return kept[:KEPT], at[first[:KEPT]]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Dice coefficient of the anchor sets behind two sketches, exact where both hold all anchors."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)
-    if len(a) >= KEPT or len(b) >= KEPT:
+def shown(kept: Sketch) -> str:
+    """Eight hex digits of each hash and eight of its place."""
+    return np.stack(kept, axis=1).astype(">u4").tobytes().hex()
+
+
+def _rising(places: np.ndarray) -> int:
+    """Length of the longest rising subsequence."""
+    if (np.diff(places) > 0).all():
+        return len(places)
+    ends: list[int] = []  # the least end of a rising subsequence of each length
+    for x in places.tolist():
+        i = bisect_left(ends, x)
+        ends[i : i + 1] = [x]
+    return len(ends)
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Dice coefficient of the anchors behind two sketches, those in one order counting as shared; exact where both hold all anchors."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    both = np.union1d(a[0], b[0])
+    if len(a[0]) >= KEPT or len(b[0]) >= KEPT:
         both = both[:KEPT]
-    shared = np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).size / len(both)
-    return 2 * shared / (1 + shared)
+    shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    seen = shared <= both[-1]
+    share = _rising(b[1][j[seen]][np.argsort(a[1][i[seen]])]) / len(both)
+    return 2 * share / (1 + share)
 
 
 def fingerprint_anchors(docs: DataFrame) -> DataFrame:

@@ -194,6 +194,58 @@ def test_closed_syncmers_by_definition():
         assert (i in at) == (min(part) in (part[0], part[-1]))
 
 
+def by_hand(text, most):
+    """The ``most`` smallest anchor hashes of a text, each with its first place."""
+    first = {}
+    for at, h in zip(*(x.tolist() for x in syncmers.anchors(text))):
+        first.setdefault(h, at)
+    return {h: first[h] for h in sorted(first)[:most]}
+
+
+def likeness_by_hand(a, b, most):
+    """All chains of shared anchors in one order, by the table of longest ones."""
+    if not a or not b:
+        return float(len(a) == len(b))
+    both = sorted({*a, *b})
+    both = both[:most] if len(a) >= most or len(b) >= most else both
+    places = [b[h] for h in sorted((h for h in both if h in a and h in b), key=lambda h: a[h])]
+    longest = []
+    for i, x in enumerate(places):
+        longest.append(1 + max((longest[j] for j in range(i) if places[j] < x), default=0))
+    share = max(longest, default=0) / len(both)
+    return 2 * share / (1 + share)
+
+
+def test_edited_fingerprints_by_brute_force(spark):
+    long, other, common = words(900, 21), words(900, 22), words(120, 23)
+    texts = [long, other, f"{common} {words(90, 24)}", f"{words(80, 25)} {common}", long, long[2000:] + long[:2000], common * 3, words(40, 26), "", "short", None, "é" * 500, words(7, 27)]
+    texts += [f"{words(60, 30 + i)} {common} {words(20 * i, 50 + i)}" for i in range(12)]
+    rows = {r["doc_id"]: r for r in syncmers.edited_fingerprints(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    texts = [t or "" for t in texts]
+    assert set(rows) == set(range(len(texts)))
+    shown = lambda found: "".join(f"{h:08x}{at:08x}" for h, at in found.items())
+    for i, text in enumerate(texts):
+        after, n = texts[i - 1], len(text)
+        edited = text[: n - n // 2] + after[: n // 2]
+        mine, changed, following = (by_hand(t, syncmers.KEPT) for t in (text, edited, after))
+        got = rows[i]
+        assert (got["fingerprint"], got["edited_fingerprint"]) == (shown(mine), shown(changed))
+        assert got["near_edited"] == pytest.approx(likeness_by_hand(mine, changed, syncmers.KEPT))
+        assert got["near_next"] == pytest.approx(likeness_by_hand(mine, following, syncmers.KEPT))
+    part = 1 - 2000 / len(long)  # two parts changed places: all anchors are shared, but only those of the larger part keep their order
+    assert rows[5]["near_next"] == pytest.approx(2 * part / (1 + part), abs=0.1)
+
+
+def test_likeness_is_close_to_that_of_all_anchors():
+    off = []
+    for k in range(40):
+        a = words(700, 100 + k)
+        b = a[: 130 * k] + words(20 * (k % 5), 200 + k) + a[150 * k :]
+        exact = likeness_by_hand(by_hand(a, 1 << 40), by_hand(b, 1 << 40), 1 << 40)
+        off.append(syncmers.likeness(syncmers.sketch(a), syncmers.sketch(b)) - exact)
+    assert np.sqrt(np.mean(np.square(off))) < 0.05 and max(map(abs, off)) < 0.2
+
+
 def test_likeness_of_half_a_text():
     a, b = words(3000, 1), words(3000, 2)
     half = a[: len(a) // 2] + b[: len(a) // 2]
