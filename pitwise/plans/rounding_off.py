@@ -9,7 +9,7 @@ from pitwise.functions import text as tx
 from pitwise.functions.rates import kelly
 from pitwise.functions.similarity import ratio
 from pitwise.operators import dedup, evaluate, joins, simulate, store
-from pitwise.plans.analogues import LOG, LONG, MATCHES, OBS, QUOTES, matches, observations, prediction_log, quotes, scored
+from pitwise.plans.analogues import LOG, LONG, MATCHES, OBS, QUOTES, WIDE, matches, observations, prediction_log, quotes, scored
 from pitwise.plans.point_in_time import r6
 from pitwise.session import table
 
@@ -210,10 +210,10 @@ def d02(spark, sf):
     """Rows in round order within an event, the newest event first."""
     place = F.when(F.col("n") == 7, 1).when(F.col("n") == 6, 2).when(F.col("n") == 5, 3).otherwise(4)
     w = Window.partitionBy("p1").orderBy(F.desc("day"), place, "id")
-    return matches(spark, sf).select("id", F.row_number().over(w).alias("place"))
+    return matches(spark, sf, wide=True).select("id", F.row_number().over(w).alias("place"))
 
 
-D02 = f"WITH {MATCHES} SELECT id, CAST(row_number() OVER (PARTITION BY p1 ORDER BY day DESC, CASE n WHEN 7 THEN 1 WHEN 6 THEN 2 WHEN 5 THEN 3 ELSE 4 END, id) AS INTEGER) AS place FROM matches"
+D02 = f"WITH {WIDE} SELECT id, CAST(row_number() OVER (PARTITION BY p1 ORDER BY day DESC, CASE n WHEN 7 THEN 1 WHEN 6 THEN 2 WHEN 5 THEN 3 ELSE 4 END, id) AS INTEGER) AS place FROM matches"
 
 
 def d09(spark, sf):
