@@ -208,3 +208,11 @@ def test_publish_and_append(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     assert sinks.append_absent(df, path, ["k"]) == 2 and sinks.append_absent(df, path, ["k"]) == 0
     assert sinks.markdown(df.orderBy("k")).splitlines()[2] == "| 1 | a |"
+
+
+def test_compounded_paths_do_not_leave_the_range_of_doubles(spark):
+    df = spark.range(8000).select(F.lit(0).alias("k"), F.col("id").alias("at"), F.lit(-0.25).alias("down"), F.lit(0.25).alias("up"))
+    for growth, value in (("down", 0.75), ("up", 1.25)):
+        rows = simulate.compounded(df, ["k"], ["at"], growth).orderBy("at").collect()
+        assert all(r.log_equity == pytest.approx(math.log(1000) + (r["at"] + 1) * math.log(value), abs=1e-10) for r in rows)
+        assert rows[0].equity == pytest.approx(1000 * value)
