@@ -107,3 +107,7 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pairs_of_the_head_to_head_meet_often(spark):
+    assert QUERIES["w13_h2h"](spark, SF).selectExpr("avg(met)").first()[0] > 3
