@@ -76,15 +76,19 @@ def reliability(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", bins
 
 
 def calibration_line(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", rounds: int = 8) -> DataFrame:
-    """Slope and intercept of a logistic fit of y on logit(p), by Newton steps of grouped sums (one aggregation a step)."""
+    """Slope and intercept of a logistic fit of y on logit(p), by Newton steps of grouped sums (one aggregation a step).
+
+    Rows of equal forecasts are counted once, before any step; a step's line is one row a key and is broadcast, so
+    rows are not dealt out by key.
+    """
     from pitwise.functions.rates import logit
 
-    rows = df.select(*keys, F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("x")).cache()
+    rows = df.groupBy(*keys, F.col(p).alias("p")).agg(F.count(y).alias("n"), F.sum(F.col(y).cast("double")).alias("y")).where("n > 0").select(*keys, "n", "y", logit(F.col("p")).alias("x")).cache()
     fit = rows.select(*keys).distinct().withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))  # from zero the steps do not overshoot
     for _ in range(rounds):
         q = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
-        at = rows.join(fit, keys).withColumn("q", q).withColumn("w", F.col("q") * (1 - F.col("q")))
-        sums = at.groupBy(*keys, "a", "b").agg(F.sum(F.col("y") - F.col("q")).alias("g0"), F.sum((F.col("y") - F.col("q")) * F.col("x")).alias("g1"), F.sum("w").alias("h00"), F.sum(F.col("w") * F.col("x")).alias("h01"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("h11"))
+        at = rows.join(F.broadcast(fit), keys).withColumn("q", q).withColumn("w", F.col("n") * F.col("q") * (1 - F.col("q"))).withColumn("g", F.col("y") - F.col("n") * F.col("q"))
+        sums = at.groupBy(*keys, "a", "b").agg(F.sum("g").alias("g0"), F.sum(F.col("g") * F.col("x")).alias("g1"), F.sum("w").alias("h00"), F.sum(F.col("w") * F.col("x")).alias("h01"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("h11"))
         det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
         fit = sums.select(*keys, (F.col("a") + F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)).alias("a"), (F.col("b") + F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)).alias("b"))
     return fit.select(*keys, F.col("b").alias("slope"), F.col("a").alias("intercept"))
