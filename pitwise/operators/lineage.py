@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 2.0**-52
@@ -36,19 +36,25 @@ def resolved(records: DataFrame, hash_of: Callable[[Column], Column], ulps: int
         F.when(~F.coalesce(F.col("claimed_count").try_cast("int") == F.size("vector"), F.lit(False)), "count"), F.when((F.col("status") == "ok") & ~F.coalesce(whole, F.lit(False)), "incomplete"),
         F.when((F.col("status") == "ok") & whole & ~F.coalesce(F.col("claimed_hash") == proved, F.lit(False)), "hash"), F.when(~F.coalesce(F.col("status") == "ok", F.lit(False)), "status")))
     rows = records.withColumns({"faults": faults, "proved": proved}).select("snapshot_id", F.struct((~F.col("immutable")).cast("int").alias("kind"), "source", "row", "run_id", "status", "vector", "faults", "proved").alias("x"))
-    heads = rows.groupBy("snapshot_id").agg(F.min_by("x", F.struct("x.kind", "x.source", "x.row")).alias("a"))
-    both = rows.join(heads, "snapshot_id")
+    # authority and number of hashes are found beside the copies, so no copy is joined or repeated, and no group is gathered
+    group = Window.partitionBy("snapshot_id")
+    fresh = F.col("x.proved").isNotNull() & ~F.col("x.proved").eqNullSafe(F.lag("x.proved").over(group.orderBy("x.proved")))
+    both = rows.withColumns({"a": F.min_by("x", F.struct("x.kind", "x.source", "x.row")).over(group), "fresh": fresh})
     a, x = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"x.{c}"))
     other = ~(x("kind").eqNullSafe(a("kind")) & x("source").eqNullSafe(a("source")) & x("row").eqNullSafe(a("row")))
     same = F.coalesce(F.forall(F.zip_with(x("vector"), a("vector"), lambda u, v: u.eqNullSafe(v)), lambda t: t), F.lit(False))
     near = F.coalesce(F.forall(F.zip_with(x("vector"), a("vector"), lambda u, v: close(u, v, ulps)), lambda t: t), F.lit(False))
     overlap = F.coalesce(F.forall(F.zip_with(x("vector"), a("vector"), lambda u, v: u.isNull() | v.isNull() | close(u, v, ulps)), lambda t: t), F.lit(False))
     ok = F.coalesce(a("status") == "ok", F.lit(False))
-    against = F.array_compact(F.array(
-        F.when(~x("run_id").eqNullSafe(a("run_id")), "run"), F.when(~x("status").eqNullSafe(a("status")), "status"),
-        F.when((x("kind") == 0) & F.when(ok, ~same).otherwise(~overlap), "immutable"), F.when((x("kind") == 1) & (a("kind") == 0) & F.when(ok, ~near).otherwise(~overlap), "derived"),
-        F.when((a("kind") == 1) & ((F.size(x("faults")) > 0) | (F.size(a("faults")) > 0) | ~near | ~x("proved").eqNullSafe(a("proved"))), "contradiction")))
-    g = both.groupBy("snapshot_id").agg(F.count("*").alias("copies"), F.first("a").alias("a"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(other, against))))).alias("conflicts"), F.count_distinct("x.proved").alias("hashes"))
+    against = {
+        "contradiction": (a("kind") == 1) & ((F.size(x("faults")) > 0) | (F.size(a("faults")) > 0) | ~near | ~x("proved").eqNullSafe(a("proved"))),
+        "derived": (x("kind") == 1) & (a("kind") == 0) & F.when(ok, ~near).otherwise(~overlap),
+        "immutable": (x("kind") == 0) & F.when(ok, ~same).otherwise(~overlap),
+        "run": ~x("run_id").eqNullSafe(a("run_id")),
+        "status": ~x("status").eqNullSafe(a("status")),
+    }
+    g = both.groupBy("snapshot_id").agg(F.count("*").alias("copies"), F.first("a").alias("a"), *[F.bool_or(other & c).alias(name) for name, c in against.items()], F.count_if("fresh").alias("hashes"))
+    g = g.withColumn("conflicts", F.array_compact(F.array(*[F.when(F.col(name), name) for name in against])))
     state = F.when(F.size("conflicts") > 0, "conflict").when(F.size("a.faults") > 0, "invalid").otherwise("verified")
     reasons = F.array_join(F.when(F.size("conflicts") > 0, F.col("conflicts")).otherwise(F.array_sort("a.faults")), ",")
     return g.select("snapshot_id", (F.col("a.kind") == 0).alias("immutable"), F.col("a.source").alias("source"), F.col("a.row").alias("row"), state.alias("state"), reasons.alias("reasons"), "copies", "hashes", F.when(state == "verified", F.col("a.proved")).alias("vector_hash"))
