@@ -21,16 +21,22 @@ def _bucket(value: Column, bounds: list[float]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), at)
 
 
-def running(df: DataFrame, key: str, ties: list[str], name: str, value: str, start: float = 0.0, kind: str = "sum", buckets: int = 0) -> DataFrame:
-    """``name``: ``start`` and the sum (or the maximum) of ``value`` up to each row in the order of ``key`` (a number) and ``ties``."""
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def running(df: DataFrame, key: str, ties: list[str], name: str | list[str], value: str | list[str], start: float = 0.0, kind: str = "sum", buckets: int = 0, by: list[str] | None = None) -> DataFrame:
+    """``name``: ``start`` and the sum (or the maximum) of ``value`` up to each row in the order of ``key`` (a number) and ``ties``.
+
+    Several names take as many values. With ``by``, sums are of the rows that are equal in these, however few such groups there are.
+    """
+    n, by = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by or []
+    names, values = ([x] if isinstance(x, str) else x for x in (name, value))
     cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
     rows = df.withColumn("_bucket", _bucket(F.col(key).cast("double"), cuts))
     total = F.sum if kind == "sum" else F.max
-    sums = rows.groupBy("_bucket").agg(total(value).alias("_all"))
-    earlier = total("_all").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("_bucket", earlier.alias("_earlier"))
-    inside = total(value).over(Window.partitionBy("_bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_inside", inside).join(sums, "_bucket")
-    whole = start + F.coalesce("_earlier", F.lit(0.0)) + F.col("_inside") if kind == "sum" else F.greatest("_earlier", "_inside")
-    return rows.withColumn(name, whole).drop("_bucket", "_inside", "_earlier")
+    sums = rows.groupBy(*by, "_bucket").agg(*[total(v).alias(f"_all{i}") for i, v in enumerate(values)])
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    on = [*by, "_bucket"]
+    sums = sums.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[total(f"_all{i}").over(before).alias(f"_earlier{i}") for i in range(len(values))])
+    upto = Window.partitionBy(*by, "_bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_inside{i}": total(v).over(upto) for i, v in enumerate(values)})
+    rows = rows.join(sums, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]).drop(*[f"_on_{c}" for c in on])
+    whole = lambda i: start + F.coalesce(f"_earlier{i}", F.lit(0.0)) + F.col(f"_inside{i}") if kind == "sum" else F.greatest(f"_earlier{i}", f"_inside{i}")
+    return rows.withColumns({x: whole(i) for i, x in enumerate(names)}).drop("_bucket", *[f"_{part}{i}" for part in ("inside", "earlier") for i in range(len(values))])

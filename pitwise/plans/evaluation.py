@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitwise.operators import evaluate as ev
+from pitwise.operators.prefix import running
 from pitwise.plans.analogues import LOG, LONG, MATCHES, QUOTES, matches, prediction_log, quotes, scored
 from pitwise.plans.point_in_time import r6
 from pitwise.session import table
@@ -288,9 +289,10 @@ round((s + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(s * (1 - s) / n + 3.84
 
 
 def w29(spark, sf):
-    w = Window.partitionBy("model").orderBy("uid").rowsBetween(Window.unboundedPreceding, 0)
+    """A model is most of a table, so its rows are cut into runs of uids."""
     hit = ((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")
-    return scored(spark, sf).select("model", "uid", r6(F.avg(hit).over(w)).alias("accuracy_so_far"))
+    rows = running(scored(spark, sf).select("model", "uid", hit.alias("hit"), F.lit(1).alias("one")), "uid", [], ["hits", "n"], ["hit", "one"], by=["model"])
+    return rows.select("model", "uid", r6(F.col("hits") / F.col("n")).alias("accuracy_so_far"))
 
 
 W29 = f"WITH {LONG} SELECT model, uid, round(avg(CAST((p >= 0.5) = (y = 1) AS INTEGER)) OVER (PARTITION BY model ORDER BY uid ROWS UNBOUNDED PRECEDING) + 1e-10, 6) AS accuracy_so_far FROM scored"
