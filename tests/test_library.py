@@ -216,3 +216,45 @@ def test_compounded_paths_do_not_leave_the_range_of_doubles(spark):
         rows = simulate.compounded(df, ["k"], ["at"], growth).orderBy("at").collect()
         assert all(r.log_equity == pytest.approx(math.log(1000) + (r["at"] + 1) * math.log(value), abs=1e-10) for r in rows)
         assert rows[0].equity == pytest.approx(1000 * value)
+
+
+def test_nearest_of_large_days_is_not_a_product(spark):
+    """Two days of 30000 rows on each side would be 1.8 billion pairs."""
+    side = lambda name, day: spark.range(60000).select(F.lit(1).alias("k"), F.col("id").alias(name), (F.col("id") % 2).alias(day))
+    got = joins.nearest(side("i", "d"), side("j", "e"), ["k"], "d", "e", 1, ["i"], "j")
+    assert got.agg(F.count("*"), F.max("gap"), F.max("j")).first() == (60000, 0, 1)
+
+
+def test_nearest_by_brute_force(spark):
+    a = spark.range(400).select(F.lit(1).alias("k"), F.col("id").alias("i"), ((F.col("id") * 7) % 23).alias("d"))
+    b = spark.range(400).select(F.lit(1).alias("k"), F.when(F.col("id") != 5, F.col("id")).alias("j"), ((F.col("id") * 11) % 31).alias("e"))
+    right = [(i * 11 % 31, -1 if i == 5 else i) for i in range(400)]
+    want = {(i, *min((abs(i * 7 % 23 - e), j) for e, j in right if abs(i * 7 % 23 - e) <= 2)) for i in range(400)}
+    near = joins.nearest(a, b, ["k"], "d", "e", 2, ["i"], "j")
+    assert {(r.i, r.gap, -1 if r.j is None else r.j) for r in near.collect()} == want
+
+
+def test_running_sums_of_keys_that_are_most_of_a_table(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 2 == 0, "a").alias("k"), "id", F.lit(1).alias("one"), F.col("id").cast("double").alias("v"))
+    got = {(r.k, r.id): (r.n, r.s) for r in running(df, "id", [], ["n", "s"], ["one", "v"], by=["k"]).collect()}
+    assert got == {("a" if i % 2 == 0 else None, i): (i // 2 + 1, sum(range(i % 2, i + 1, 2))) for i in range(300)}
+
+
+def test_equal_titles_are_matched_once(spark):
+    """20000 equal titles against 2000 entries that share their token would be 40 million pairs, each with both sets."""
+    left = spark.range(20000).select(F.col("id").alias("i"), F.array(F.lit("x"), F.lit("y0")).alias("t"))
+    right = spark.range(2000).select(F.col("id").alias("j"), F.array(F.lit("x"), F.concat(F.lit("y"), F.col("id").cast("string"))).alias("t"))
+    got = joins.best_by_tokens(left, right, "i", "j", "t", 0.4, 0.05)
+    assert got.agg(F.count("*"), F.min("j"), F.max("j"), F.min("score")).first() == (20000, 0, 0, 1.0)
+
+
+def test_a_snapshot_of_many_copies_is_not_gathered(spark):
+    from pitwise.operators import lineage
+
+    vector = F.array((F.col("id") % 3).cast("double"))
+    rows = spark.range(2000).select(F.lit(1).alias("snapshot_id"), (F.col("id") == 7).alias("immutable"), F.lit("s").alias("source"), F.col("id").alias("row"), F.lit("r").alias("run_id"), F.lit("ok").alias("status"), vector.alias("vector"), F.lit("1").alias("claimed_count"))
+    hash_of = lambda v: F.array_join(v.cast("array<string>"), ",")
+    found = lineage.resolved(rows.withColumn("claimed_hash", hash_of(F.col("vector"))), hash_of)
+    got = found.first()
+    assert (got.state, got.reasons, got.copies, got.hashes, got.row) == ("conflict", "derived", 2000, 3, 7)
+    assert "collect_set" not in found._jdf.queryExecution().toString()
