@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -38,6 +40,9 @@ GRIDS: dict[str, dict[str, dict]] = {
     },
 }
 
+#: Configurations that are fitted at once: a fit is many short jobs, which leave most cores idle between them.
+AT_ONCE = 2
+
 
 @dataclass
 class Curve:
@@ -136,7 +141,10 @@ def select(df: DataFrame, features: list[str], family: str, grid: dict[str, dict
     scaling = prepare.fit(train)
     train, held = (scaling.transform(x).select("features", "y").persist() for x in (train, held))
     try:
-        found = {name: _FAMILIES[family](train, held, config, patience, seed) for name, config in (grid or GRIDS[family]).items()}
+        configs = grid or GRIDS[family]
+        with ThreadPool(min(AT_ONCE, len(configs))) as pool:
+            fit = inheritable_thread_target(df.sparkSession)(lambda config: _FAMILIES[family](train, held, config, patience, seed))
+            found = dict(zip(configs, pool.map(fit, configs.values(), chunksize=1)))
         name = min(found, key=lambda n: min(found[n][0].losses))
         curve, kept = found[name]
         return Choice(family, name, curve.best, PipelineModel([*scaling.stages, kept()]), {n: c for n, (c, _) in found.items()})

@@ -80,3 +80,20 @@ def test_curves_end_after_rounds_without_gain(losses, patience, best, seen):
 def test_a_missing_part_is_an_error(spark, rows):
     with pytest.raises(ValueError):
         training.select(rows.where("part = 'train'"), FEATURES, "forest", GRIDS["forest"])
+
+
+def test_configurations_are_fitted_at_once_and_keep_their_order(spark, rows, monkeypatch):
+    """Each fit waits for another one; of equal losses the first configuration of the grid is kept."""
+    import threading
+
+    both = threading.Barrier(2)
+
+    def fit(train, held, config, patience, seed):
+        both.wait(30)
+        curve = training.Curve(patience)
+        curve.add(config["loss"])
+        return curve, lambda: models.fit(rows, FEATURES).stages[-1]
+
+    monkeypatch.setitem(training._FAMILIES, "waiting", fit)
+    chosen = training.select(rows, FEATURES, "waiting", {"a": {"loss": 0.7}, "b": {"loss": 0.6}, "c": {"loss": 0.6}, "d": {"loss": 0.9}})
+    assert chosen.config == "b" and list(chosen.curves) == ["a", "b", "c", "d"]
