@@ -15,8 +15,9 @@ at the limit through (an exact binomial tail), fewer of closer ones. Candidates
 compared by whole sets.
 
 What matters is which sets hang together, so pairs inside a component are not
-compared: first every set meets one random holder of each of its prefix members,
-then what is apart from its group's main component meets a random set of that, then
+compared: first sets meet by SimHash, those of equal fingerprints of 64 bits and of
+fingerprints at most two bits apart (whole sets decide here too); then what is apart
+from the main component of a prefix member's group meets a random set of that, then
 the nearest set (by fingerprint) of another component, and last, what is still apart
 meets all others. The last round is complete, whatever the size of the group.
 """
@@ -24,7 +25,7 @@ meets all others. The last round is complete, whatever the size of the group.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -287,13 +288,26 @@ def _others(apart: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
     return met.where(_room(similarity) & near & _alike(similarity)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), _bits().alias("apart"))
 
 
-def linked(texts: DataFrame, wide: DataFrame, shingles, similarity: float) -> DataFrame:
-    """(node, root) of every set that has a link, as :func:`components` gives them. ``wide``: see :func:`prefixes`."""
+def _printed(sets: _Sets, near_prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) by 64-bit SimHash: each set and the first of its fingerprint, and the firsts of fingerprints that ``near_prints`` links."""
+    nodes = sets.nodes.select("id", F.col("fp")[0].alias("fp"))
+    firsts = cut(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    same = nodes.join(firsts, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    side = lambda c, name: firsts.select(F.col("fp").alias(c), F.col("first").alias(name))
+    near = near_prints(firsts.select("fp")).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def linked(texts: DataFrame, wide: DataFrame, shingles, similarity: float, near_prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of every set that has a link, as :func:`components` gives them. ``wide``: see :func:`prefixes`.
+
+    ``near_prints`` gives edges (a, b) between near ones of distinct fingerprints ``fp``.
+    """
     met = stored(_met(wide, similarity))
     free(wide)
     sets = _Sets(texts, wide, met, shingles, similarity)
-    links = sets.links(_with_hub(met, met, similarity, 0))
-    for draw in range(1, HUBS):
+    links = sets.links(_printed(sets, near_prints))
+    for draw in range(HUBS):
         apart = _apart(met, components(links))
         links = cut(links.unionByName(sets.links(_with_hub(apart.where("root <> main"), apart.where("root = main"), similarity, draw))))
         discard(apart)

@@ -131,7 +131,9 @@ def unique_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     """One document of each group of near-duplicates: its smallest doc_id, with all columns.
 
     Two documents are linked where the Jaccard similarity of their shingle sets
-    is ``similarity`` or more. All such pairs count (:mod:`pitwise.llm.setjoin`),
+    is ``similarity`` or more. Documents meet by SimHash fingerprints (:func:`links`)
+    first; as near fingerprints are not all such pairs, those that are still apart then
+    meet by members of their sets, so that all count (:mod:`pitwise.llm.setjoin`),
     and a shingle counts once however often a text repeats it. Nulls and empty
     texts are alike; of repeated rows one stays; a null doc_id goes last; an
     empty table gives none; further columns may have any name.
@@ -140,7 +142,7 @@ def unique_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("body"))
     wide = stored(setjoin.prefixes(texts, shingles, majority, similarity, *setjoin.frequent_hashes(texts, shingles)))
     prints = cut(wide.select("doc_id", "mark", "id"))
-    roots = setjoin.linked(texts, wide, shingles, similarity)
+    roots = setjoin.linked(texts, wide, shingles, similarity, links)
     discard(wide)
     rooted = prints.join(roots, prints.id == roots.node, "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
     rooted = rooted.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times"))

@@ -192,7 +192,7 @@ def test_fingerprint_gates_lose_next_to_nothing_at_the_limit():
     """The exact binomial tail beyond each gate, and what it still rules out of texts that have nothing in common."""
     import math
 
-    from pitwise.llm import setjoin
+    from pitwise.llm import setjoin, simhash
 
     share = math.acos(2 * 0.8 / 1.8) / math.pi
     for lanes, unlike in ((setjoin.FIRST, 1e-2), (setjoin.LANES, 1e-12)):
@@ -210,3 +210,19 @@ def test_redaction_of_many_spans(spark):
     docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     (row,) = pii.redacted(docs).collect()
     assert row.text == " ".join(f"w{i} <email> <phone> x" for i in range(700)) and row.n_chars == len(row.text)
+
+
+def test_near_copies_meet_by_their_fingerprints(spark, monkeypatch):
+    """Without the rounds by members of sets, SimHash alone brings copies with near fingerprints together, and whole sets tell them from others."""
+    from pitwise.llm import setjoin, simhash
+
+    base = [words(400, k) for k in range(6)]
+    texts = base + [b + " more" for b in base]  # one further shingle of nearly 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(setjoin, "_with_hub", lambda *_: none)
+    monkeypatch.setattr(setjoin, "_others", lambda *_: none.selectExpr("a", "b", "0 apart"))
+    prints = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(docs).collect()}
+    near = [k for k in range(6) if ((prints[k] ^ prints[k + 6]) & (2**64 - 1)).bit_count() <= 2]
+    kept = {r["doc_id"] for r in simhash.unique_documents(docs).collect()}
+    assert near and kept == set(range(12)) - {k + 6 for k in near}
