@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitwise.llm.common import by_key, cut, discard, free, stored
+from pitwise.llm.common import by_key, cut, discard, free, slots, stored
 from pitwise.llm.components import components
 
 #: One in SAMPLE texts is looked at for frequent hashes; at most FREQUENT of them are sent to the tasks (0.5 MB).
@@ -205,6 +205,11 @@ def _alike(similarity: float) -> Column:
     return (_bits() <= bits_apart(similarity, LANES)) | (F.least("n_a", "n_b") < SMALL)
 
 
+def _both(one: DataFrame, more: DataFrame) -> DataFrame:
+    """Two cut tables as one, of no more partitions than the session's."""
+    return cut(one.unionByName(more).coalesce(slots(one.sparkSession)))
+
+
 class _Sets:
     """The sets that candidates are compared by, and which pairs have been compared."""
 
@@ -241,7 +246,7 @@ class _Sets:
             side = lambda c: self.nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(self.similarity)).select("a", "b")
         pairs = cut(pairs)
-        self.done = pairs if self.done is None else self.done.unionByName(pairs)
+        self.done = pairs if self.done is None else _both(self.done, pairs)
         similarity = self.similarity
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +314,7 @@ def linked(texts: DataFrame, wide: DataFrame, shingles, similarity: float, near_
     links = sets.links(_printed(sets, near_prints))
     for draw in range(HUBS):
         apart = _apart(met, components(links))
-        links = cut(links.unionByName(sets.links(_with_hub(apart.where("root <> main"), apart.where("root = main"), similarity, draw))))
+        links = _both(links, sets.links(_with_hub(apart.where("root <> main"), apart.where("root = main"), similarity, draw)))
         discard(apart)
         free(links)
     for last in (False, True):
@@ -318,7 +323,7 @@ def linked(texts: DataFrame, wide: DataFrame, shingles, similarity: float, near_
         rest = _others(apart, sets, similarity)
         rest = rest.select("a", "b") if last else rest.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
         more = sets.links(rest, near=True)
-        links = cut(links.unionByName(more))
+        links = _both(links, more)
         discard(apart)
         free(links)
     roots = components(links) if more.take(1) else roots

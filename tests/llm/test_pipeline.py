@@ -69,3 +69,14 @@ def test_run_ends_in_digests_of_the_mixed_documents(spark, corpus):
             ids = own.lib.encode(text[doc_id], add_eos=True)
             assert (n, ids_sha) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             assert decoded_sha == hashlib.sha256(text[doc_id].encode()).hexdigest()
+
+
+def test_a_small_graph_is_not_shuffled_between_rounds(spark):
+    from pitwise.llm import components
+
+    edges = components.cut(spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint").repartition(4))
+    plan = lambda count: components._round(edges, count)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(40)
+    assert "Exchange" in plan(components.SMALL + 1)
+    assert sorted(components._round(edges, 40).collect()) == sorted(components._round(edges, components.SMALL + 1).collect())
+    assert {(r.node, r.root) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)}
