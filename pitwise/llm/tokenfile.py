@@ -27,6 +27,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pitwise.llm.common import stored
 BLOCK, SEGMENT = 128, 1 << 18
 #: Words whose ids a Python worker keeps at most; beyond it the cache starts anew.
 CACHE = 500_000
+_token_id = attrgetter("id")
 _HEAD = struct.Struct("<4sHHQII")
 _BLOCK = struct.Struct("<IBB")
 
@@ -72,7 +74,7 @@ class WordEncoder:
 
     def _model_ids(self, part: bytes) -> bytes:
         text = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return array("I", map(_token_id, self.model.tokenize(text))).tobytes()
 
     def _direct(self, word: bytes) -> bytes | None:
         """Ids of a plain word, None for any other."""
@@ -89,7 +91,10 @@ class WordEncoder:
         known, end = self.known, self.known.get(rest)
         if end is None:
             end = known[rest] = self._model_ids(rest)
-        return (known.get(stem) or self._model_ids(stem)) + end
+        begin = known.get(stem)
+        if begin is None:
+            begin = known[stem] = self.older.get(stem) or self._model_ids(stem)
+        return begin + end
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words. When the cache is full the generation before last is dropped."""
@@ -97,15 +102,14 @@ class WordEncoder:
             self.known, self.older = {}, self.known
         known, older, odd = self.known, self.older, []
         known[b""] = b""
-        out = [known.get(w) for w in words]
-        for i, ids in enumerate(out):
+        out = list(map(known.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            ids = known.get(w) or older.get(w) or self._direct(w)  # stems become known on the way
             if ids is None:
-                w = words[i]
-                ids = older.get(w) or self._direct(w)
-                if ids is None:
-                    odd.append(i)
-                else:
-                    out[i] = known[w] = ids
+                odd.append(i)
+            else:
+                out[i] = known[w] = ids
         for i, e in zip(odd, self.tokenizer.encode_batch([words[i].decode() for i in odd], add_special_tokens=False)):
             out[i] = known[words[i]] = array("I", e.ids).tobytes()
         return out
@@ -116,7 +120,7 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pa.array(low, pa.binary()).cast(pa.string()))
         coded = split.values.dictionary_encode()
         code = coded.indices.to_numpy()
-        ids = self._ids(coded.dictionary.cast(pa.binary()).to_pylist())
+        ids = self._ids(coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(length) - length
         size = length[code]
@@ -151,35 +155,42 @@ def pack_blocks(ids: np.ndarray, percentile: float = 0.9) -> list[bytes]:
         part = apart[rows]
         kind, room = ("<u2", 16) if w <= 16 else ("<u4", 32)
         bits = np.unpackbits(part.astype(kind).view(np.uint8), bitorder="little").reshape(len(rows), BLOCK, room)[:, :, :w]
-        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").tobytes()
         high = part >> np.uint32(w) if w < 32 else np.zeros_like(part)
-        for i, row in enumerate(rows.tolist()):
-            at = np.flatnonzero(high[i])
-            out[row] = _BLOCK.pack(int(least[row]), w, len(at)) + packed[i].tobytes() + at.astype(np.uint8).tobytes() + high[i][at].astype("<u4").tobytes()
+        row, place = np.nonzero(high)
+        odd = np.bincount(row, minlength=len(rows))
+        to = np.cumsum(odd)
+        places, highs, size = place.astype(np.uint8).tobytes(), high[row, place].astype("<u4").tobytes(), BLOCK * w // 8
+        for i, (at, low, k, b) in enumerate(zip(rows.tolist(), least[rows].tolist(), odd.tolist(), to.tolist())):
+            out[at] = _BLOCK.pack(low, w, k) + packed[i * size : (i + 1) * size] + places[b - k : b] + highs[4 * (b - k) : 4 * b]
     return out
 
 
 def unpack_blocks(image: bytes, offsets: np.ndarray) -> np.ndarray:
     """Ids of the blocks that start at ``offsets[:-1]`` and end at ``offsets[-1]``, fillers included."""
-    n = len(offsets) - 1
-    heads = [_BLOCK.unpack_from(image, o) for o in offsets[:-1].tolist()]
+    n, offsets = len(offsets) - 1, offsets.astype(np.int64)
     grid = np.zeros((n, BLOCK), np.uint32)
-    width = np.array([h[1] for h in heads], np.int64)
+    if not n:
+        return grid.reshape(-1)
+    raw, starts = np.frombuffer(image, np.uint8), offsets[:-1]
+    least = np.ascontiguousarray(raw[starts[:, None] + np.arange(4)]).view("<u4").ravel()
+    width, odd = raw[starts + 4].astype(np.int64), raw[starts + 5].astype(np.int64)
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         size = BLOCK * w // 8
-        packed = np.frombuffer(b"".join(image[o + _BLOCK.size : o + _BLOCK.size + size] for o in offsets[rows].tolist()), np.uint8)
         if w:
+            packed = raw[starts[rows, None] + (_BLOCK.size + np.arange(size))]
             kind, room = ("<u2", 16) if w <= 16 else ("<u4", 32)
             bits = np.zeros((len(rows), BLOCK, room), np.uint8)
-            bits[:, :, :w] = np.unpackbits(packed, bitorder="little").reshape(len(rows), BLOCK, w)
+            bits[:, :, :w] = np.unpackbits(packed.reshape(-1), bitorder="little").reshape(len(rows), BLOCK, w)
             grid[rows] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view(kind)
-    for i, (least, w, odd) in enumerate(heads):
-        if odd:
-            at = int(offsets[i]) + _BLOCK.size + BLOCK * w // 8
-            places = np.frombuffer(image, np.uint8, odd, at)
-            grid[i, places] |= np.frombuffer(image, "<u4", odd, at + odd) << np.uint32(w)
-        grid[i] += np.uint32(least)
+    # exceptions of all blocks: their places, then their high parts
+    row = np.repeat(np.arange(n), odd)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(odd) - odd, odd)
+    first = (starts + _BLOCK.size + BLOCK * width // 8)[row]
+    high = np.ascontiguousarray(raw[(first + odd[row] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").ravel()
+    grid[row, raw[first + nth]] |= high << width[row].astype(np.uint32)
+    grid += least[:, None]
     return grid.reshape(-1)
 
 
