@@ -73,3 +73,48 @@ def test_null_keys_and_no_rows(spark):
     df = spark.createDataFrame([(None, 1, 0.75, 2.0, True), ("a", 2, 0.75, 2.0, True)], "key string, n int, p double, odds double, won boolean")
     assert sorted(r.n for r in fold.staking_paths(df, ["key"], ["n"], "n").collect()) == [1, 2]
     assert fold.staking_paths(df.limit(0), ["key"], ["n"], "n").count() == 0
+
+
+def test_strategies_by_a_walk_of_their_own(spark):
+    """Each strategy stakes from its own bankroll, over all bets of a key: small bets are left out, raised, or of the first bankroll."""
+    import math
+    import random
+
+    r = random.Random(5)
+    rows = [("ab"[i % 2], i, r.choice([0.3, 0.6, 0.8, 1.0]), r.choice([1.5, 2.0, 4.0]), r.random() < 0.45) for i in range(400)]
+    strategies = {"full": ("growing", 1.0, None), "capped": ("growing", 1.0, 0.05), "hybrid": ("raised", 0.02, None), "fixed": ("level", 1.0, None)}
+    df = spark.createDataFrame(rows, "key string, n int, p double, odds double, won boolean").repartition(3)
+    got = {(x.strategy, x.n): x for x in fold.strategy_paths(df, ["key"], ["n"], "n", strategies, start=10.0, least=0.5).collect()}
+    assert len(got) == len(rows) * len(strategies)
+    seen = set()
+    for name, (rule, share, most) in strategies.items():
+        bank = dict.fromkeys("ab", 10.0)
+        for key, n, p, odds, won in rows:
+            f = max(0.0, ((odds - 1) * p - (1 - p)) / (odds - 1))
+            stake = (10.0 if rule == "level" else bank[key]) * min(share * f, most or 1.0)
+            raised = rule == "raised" and f > 0 and stake < 0.5 <= bank[key]
+            stake = 0.5 if raised else stake
+            placed = f > 0 and stake >= 0.5
+            seen.add((name, placed, raised))
+            bank[key] += (stake * (odds - 1) if won else -stake) if placed else 0.0
+            x = got[name, n]
+            assert x.placed == placed
+            if rule == "level":
+                assert x.log_equity is None and x.equity == pytest.approx(bank[key], abs=2e-4)
+            else:
+                assert x.equity is None and (x.log_equity is None if bank[key] <= 1e-9 else x.log_equity == pytest.approx(math.log(bank[key]), abs=1e-6))
+    assert {("full", True, False), ("full", False, False), ("hybrid", True, True), ("hybrid", False, False)} <= seen
+
+
+def test_strategies_bet_on_either_side_and_keep_their_bankroll_over_the_years(spark):
+    from pitwise.plans import research
+    from pitwise.plans.analogues import prediction_log
+
+    sf = "/root/testdata/sf0.001"
+    log = {r.uid: r for r in prediction_log(spark, sf).collect()}
+    got = research.b13c(spark, sf).where("strategy = 'fixed'").collect()
+    low = [x for x in got if log[x.uid].p_nn < 0.47]
+    assert len(low) > 50 and any(x.placed for x in low)
+    path = sorted((x for x in got if log[x.uid].segment == log[got[0].uid].segment), key=lambda x: (log[x.uid].d, x.uid))
+    steps = [b.equity - a.equity for a, b in zip(path, path[1:])]
+    assert len({log[x.uid].yr for x in path}) > 3 and all((s != 0) == b.placed for s, b in zip(steps, path[1:]))
